@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from tessera.llm.bpe import op2_byte_bpe
+from tessera.llm.decontam import op3_decontaminate
 from tessera.llm.line_dedup import OP1_SQL, op1_line_dedup
 from tessera.llm.simhash import op4_simhash
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_byte_bpe": op2_byte_bpe,
+    "op3_decontaminate": op3_decontaminate,
     "op4_simhash": op4_simhash,
 }
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from tessera.llm.bpe import op2_byte_bpe
 from tessera.llm.decontam import op3_decontaminate
+from tessera.llm.langid import op8_language
 from tessera.llm.line_dedup import OP1_SQL, op1_line_dedup
+from tessera.llm.pst import op9_suffix_tree_lm
 from tessera.llm.simhash import op4_simhash
 
 QUERIES = {
@@ -12,6 +14,8 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_decontaminate": op3_decontaminate,
     "op4_simhash": op4_simhash,
+    "op8_language": op8_language,
+    "op9_suffix_tree_lm": op9_suffix_tree_lm,
 }
 
 ORACLE_SQL = {"op1_line_dedup": OP1_SQL}

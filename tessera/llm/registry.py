@@ -8,12 +8,14 @@ from tessera.llm.langid import op8_language
 from tessera.llm.line_dedup import OP1_SQL, op1_line_dedup
 from tessera.llm.pst import op9_suffix_tree_lm
 from tessera.llm.simhash import op4_simhash
+from tessera.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_decontaminate": op3_decontaminate,
     "op4_simhash": op4_simhash,
+    "op7_toxicity": op7_toxicity,
     "op8_language": op8_language,
     "op9_suffix_tree_lm": op9_suffix_tree_lm,
 }

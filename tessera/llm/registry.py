@@ -6,7 +6,9 @@ from tessera.llm.bpe import op2_byte_bpe
 from tessera.llm.decontam import op3_decontaminate
 from tessera.llm.langid import op8_language
 from tessera.llm.line_dedup import OP1_SQL, op1_line_dedup
+from tessera.llm.pii import op10_pii
 from tessera.llm.pst import op9_suffix_tree_lm
+from tessera.llm.quality import op6_quality
 from tessera.llm.simhash import op4_simhash
 from tessera.llm.toxicity import op7_toxicity
 
@@ -15,9 +17,11 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_decontaminate": op3_decontaminate,
     "op4_simhash": op4_simhash,
+    "op6_quality": op6_quality,
     "op7_toxicity": op7_toxicity,
     "op8_language": op8_language,
     "op9_suffix_tree_lm": op9_suffix_tree_lm,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL = {"op1_line_dedup": OP1_SQL}

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -65,14 +66,18 @@ class Block:
     def __init__(self, number: int, ids: list, flags: list, tokens: list[list[bytes]], buckets: int) -> None:
         self.number, self.ids, self.flags = number, ids, flags
         self.lengths = np.fromiter(map(len, tokens), np.int32, len(tokens))
-        seen: dict[bytes, int] = {}
-        raw = np.fromiter((seen.setdefault(w, len(seen)) for doc in tokens for w in doc), np.int64, int(self.lengths.sum()))
+        seen: dict[str | bytes, int] = {}
+        for doc in tokens:
+            for w in doc:
+                if w not in seen:
+                    seen[w] = len(seen)
+        raw = np.fromiter(map(seen.__getitem__, chain.from_iterable(tokens)), np.int64, int(self.lengths.sum()))
         count = np.bincount(raw, minlength=len(seen))
         order = np.argsort(-count, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
         self.seq = rank[raw]
-        known = list(seen)
+        known = [w.encode() if isinstance(w, str) else w for w in seen]
         self.words = [known[k] for k in order.tolist()]
         crc = zlib.crc32
         self.bucket = np.fromiter((crc(w) % buckets for w in self.words), np.uint32, len(self.words))

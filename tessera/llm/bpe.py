@@ -30,18 +30,17 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class ByteBPE:
     def __init__(self, ranks: dict[bytes, int], pattern: str, max_tokens: int = 1_000_000) -> None:
         self.ranks, self.max_tokens = ranks, max_tokens
-        # White space as Unicode has it, whatever the regex engine takes \s for.
         self.pattern = pattern
 
     def tokenizer(self):
         pattern, cache = self.pattern, []
 
-        def tokenize(text: bytes) -> list[bytes]:
+        def tokenize(text: bytes) -> list[str]:  # blocks encode each distinct one
             if not cache:
                 import regex
 
                 cache.append(regex.compile(pattern).findall)
-            return [w.encode() for w in cache[0](text.decode())]
+            return cache[0](text.decode())
 
         return tokenize
 

@@ -135,8 +135,9 @@ class LanguageID:
         by = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 40)), "id")
         size = rows.groupBy(F.col(self.lang).alias("lang")).agg(F.count("*").alias("size"))
         slim = rows.select(F.col(self.lang).alias("lang"), F.col(self.id).alias("id"), F.xxhash64(self.id).alias("h"))
-        # A first cut by the hash leaves about twice per_language ids of a language, however common it is, for the ranking.
-        slim = slim.join(size, "lang").filter(F.pmod("h", F.lit(1 << 40)) < F.lit(2.0 * self.per_language * (1 << 40)) / F.col("size")).drop("size")
+        # A first cut by the hash leaves about twice per_language ids of a language, however common it is, for the ranking. The languages
+        # are the classes of the softmax, so their table is as small as the model.
+        slim = slim.join(F.broadcast(size), "lang").filter(F.pmod("h", F.lit(1 << 40)) < F.lit(2.0 * self.per_language * (1 << 40)) / F.col("size")).drop("size")
         picked = slim.withColumn("n", F.row_number().over(by)).filter(F.col("n") <= self.per_language).select("id").distinct()
 
         def run(batches):

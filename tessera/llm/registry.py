@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tessera.llm.bpe import op2_byte_bpe
 from tessera.llm.decontam import op3_decontaminate
+from tessera.llm.embedding import op5_embedding
 from tessera.llm.langid import op8_language
 from tessera.llm.line_dedup import OP1_SQL, op1_line_dedup
 from tessera.llm.pii import op10_pii
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_decontaminate": op3_decontaminate,
     "op4_simhash": op4_simhash,
+    "op5_embedding": op5_embedding,
     "op6_quality": op6_quality,
     "op7_toxicity": op7_toxicity,
     "op8_language": op8_language,

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import ByteBPE, digest, load_ranks
-from tessera.llm.common import crc_mod, materialize
+from tessera.llm.common import crc_mod, materialize, sized
 from tessera.llm.decontam import Decontaminator
 from tessera.llm.langid import LanguageID
 from tessera.llm.line_dedup import LineDedup
@@ -35,6 +35,7 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """One document of each group stays, the one with the smallest id; so do rows with a null id."""
     groups = SimHashDedup()(docs)
     gone = groups.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
+    gone = sized(gone, "gone")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
@@ -42,6 +43,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents of which at least a twentieth of the words lies in benchmark windows go."""
     found = Decontaminator()(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     bad = found.filter("contaminated").select("id", "th").distinct()
+    bad = sized(bad, "bad")
     met = docs["doc_id"].cast("long").eqNullSafe(bad["id"]) & (F.xxhash64(docs["text"]) == bad["th"])
     return docs.join(bad, met, "left_anti")
 

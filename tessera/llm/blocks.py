@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import is_plain_scan, materialize
+from tessera.llm.common import frugal, is_plain_scan, materialize
 
 WORDS = "bucket int, block long, n int, mark long, payload binary"
 SEQS = "block long, bucket int, n int, mark long, ids array<long>, flags array<boolean>, lengths array<int>, payload binary"
@@ -127,7 +127,7 @@ class BlockTable:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["bucket", "block", "n", "mark", "payload"])
 
-        return self.docs.mapInArrow(run, WORDS)
+        return self.docs.mapInArrow(frugal(run), WORDS)
 
     def sequences(self) -> DataFrame:
         """A row per block, with bucket -1 so that it sorts before the answers to its words."""
@@ -139,7 +139,7 @@ class BlockTable:
                 row = ((x.number, pa.int64()), (-1, pa.int32()), (len(x.words), pa.int32()), (x.mark, pa.int64()), (x.ids, pa.list_(pa.int64())), (x.flags, pa.list_(pa.bool_())), (x.lengths, pa.list_(pa.int32())), (payload, pa.binary()))
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in row], ["block", "bucket", "n", "mark", "ids", "flags", "lengths", "payload"])
 
-        return self.docs.mapInArrow(run, SEQS)
+        return self.docs.mapInArrow(frugal(run), SEQS)
 
     def assemble(self, answers: DataFrame, finish: Callable, schema: str, width: int) -> DataFrame:
         """answers(block, bucket, n, mark, payload) meet their block. finish(ids, flags, lengths, seq, per_bucket) yields batches; per_bucket: (ranks of the bucket's words, payload)."""
@@ -170,4 +170,4 @@ class BlockTable:
             if head is not None:
                 yield from close(head, rest)
 
-        return both.mapInArrow(run, schema)
+        return both.mapInArrow(frugal(run), schema)

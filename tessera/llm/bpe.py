@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.blocks import BlockTable, pack, split_words, unpack
-from tessera.llm.common import width
+from tessera.llm.common import frugal, width
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -70,7 +70,7 @@ class ByteBPE:
                 yield pa.RecordBatch.from_arrays([b.column("block"), b.column("bucket"), b.column("n"), b.column("mark"), pa.array(out, pa.binary())], ["block", "bucket", "n", "mark", "payload"])
 
         dealt = words.repartition(parts, "bucket").sortWithinPartitions("bucket")
-        return dealt.mapInArrow(run, "block long, bucket int, n int, mark long, payload binary")
+        return dealt.mapInArrow(frugal(run), "block long, bucket int, n int, mark long, payload binary")
 
     def __call__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(id, n_tokens long, ids binary: little-endian unsigned 32-bit, decoded binary), a row for each row of docs."""

@@ -76,3 +76,28 @@ def is_plain_scan(df: DataFrame) -> bool:
 
 def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def sized(df: DataFrame, tag: str, most: int = 200_000) -> DataFrame:
+    """df as a written table, marked for broadcast only if it has at most `most` rows; otherwise the join stays a shuffle."""
+    df = materialize(df, tag)
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def frugal(run):
+    """A mapInArrow function that gives its worker's free memory back at the end of each task."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            import pyarrow
+
+            pyarrow.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return wrapped

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import is_plain_scan, materialize
+from tessera.llm.common import frugal, is_plain_scan, materialize
 
 #: Words are runs of digits, letters a-z (after lower-casing A-Z) and every byte of a non-ASCII character.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -130,7 +130,7 @@ class Decontaminator:
                 yield close()
 
         rows = docs.select(F.col(self.id).cast("long").alias("id"), F.xxhash64(F.col(self.text)).alias("th"), F.col(self.text).cast("string").alias("text"))
-        return materialize(rows.mapInArrow(run, SEGMENT), "index")
+        return materialize(rows.mapInArrow(frugal(run), SEGMENT), "index")
 
     def search(self, index: DataFrame, windows: dict[tuple[int, ...], set[str]], vocab_size: int) -> DataFrame:
         """A row for each row of the documents: its hit spans (word positions, end exclusive) and the items found in it."""
@@ -164,7 +164,7 @@ class Decontaminator:
                     cols = [pa.array(np.full(len(n), seg, np.int64)), pa.array(np.arange(len(n), dtype=np.int32)), ids, hashes, pa.array(n), *lists, pa.array([sorted(items.get(r, ())) for r in range(len(n))], pa.list_(pa.string()))]
                     yield pa.RecordBatch.from_arrays(cols, ["seg", "row", "id", "th", "n_words", "starts", "stops", "items"])
 
-        return index.mapInArrow(run, FOUND)
+        return index.mapInArrow(frugal(run), FOUND)
 
     def __call__(self, docs: DataFrame, items: DataFrame, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
         """(id, th, n_words, n_hit, items array, contaminated), a row for each row of docs; th is xxhash64 of the text."""

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import key128, materialize, width
+from tessera.llm.common import frugal, key128, materialize, width
 from tessera.llm.components import connected_components
 from tessera.llm.simhash import forest
 
@@ -71,7 +71,7 @@ class EmbeddingDedup:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), vecs, sig], ["rep", "cnt", "vec", "sig"])
 
         kind = classes.schema["vec"].dataType.simpleString()
-        return materialize(classes.select("rep", "cnt", "vec").mapInArrow(run, f"rep long, cnt long, vec {kind}, sig array<int>"), "signed")
+        return materialize(classes.select("rep", "cnt", "vec").mapInArrow(frugal(run), f"rep long, cnt long, vec {kind}, sig array<int>"), "signed")
 
     def compare(self, units: DataFrame) -> DataFrame:
         """units(t, b, i, j, c, rep, cnt, vec, sig), all rows of a unit in one partition and together -> (rep, links, root)."""
@@ -136,7 +136,7 @@ class EmbeddingDedup:
             if held:
                 yield close(pa.Table.from_batches(held).combine_chunks())
 
-        return units.mapInArrow(run, "rep long, links long, root long")
+        return units.mapInArrow(frugal(run), "rep long, links long, root long")
 
     def __call__(self, vectors: DataFrame) -> DataFrame:
         """(id, n_links, component_id, kept), a row for each row of vectors."""

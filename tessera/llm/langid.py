@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc_mod
+from tessera.llm.common import crc_mod, frugal
 
 SLOTS_BITS = 16
 TABLE = np.array([c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256)], np.uint8)
@@ -147,7 +147,7 @@ class LanguageID:
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(0)] * 2), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.float32()))], ["lang", "slots", "shares"])
 
         sample = rows.select(F.col(self.id).alias("id"), F.col(self.lang).alias("lang"), F.col(self.text).alias("text")).join(F.broadcast(picked), "id", "left_semi")
-        got = sample.select("lang", "text").mapInArrow(run, "lang string, slots array<int>, shares array<float>").toArrow()
+        got = sample.select("lang", "text").mapInArrow(frugal(run), "lang string, slots array<int>, shares array<float>").toArrow()
         data = [(x, s.values.to_numpy(), v.values.to_numpy()) for x, s, v in zip(got.column(0).to_pylist(), got.column(1), got.column(2)) if s.values is not None and len(s.values)]
         return fit(sorted(data, key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))) if data else None
 
@@ -171,7 +171,7 @@ class LanguageID:
                 yield pa.RecordBatch.from_arrays(out, [*names, "_lang", "_score", "_rejected"])
 
         schema = docs.withColumns({"_lang": F.lit("a"), "_score": F.lit(0.5), "_rejected": F.lit(True)}).schema
-        return rows.mapInArrow(run, schema)
+        return rows.mapInArrow(frugal(run), schema)
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.blocks import BlockTable, join_words, pack, planes, split_words, unpack, unplanes
-from tessera.llm.common import crc_mod, materialize, width
+from tessera.llm.common import crc_mod, frugal, materialize, width
 
 #: Numbers of frequent tokens; words follow. A string of up to three fits 60 bits, hence at most 2^20 frequent tokens.
 END, START, FIRST, BITS = 0, 1, 2, 20
@@ -155,7 +155,7 @@ class SuffixTreeLM:
             if total:
                 yield close()
 
-        return materialize(words.mapInArrow(run, "bucket int, " + "".join(f"{x} long, " for x in names) + "payload binary"), "totals")
+        return materialize(words.mapInArrow(frugal(run), "bucket int, " + "".join(f"{x} long, " for x in names) + "payload binary"), "totals")
 
     def frequent(self, totals: DataFrame, least: int) -> tuple[dict[bytes, int], np.ndarray]:
         """The words with at least `least` training tokens, at most tokens / least of them, numbered; and their counts."""
@@ -169,7 +169,7 @@ class SuffixTreeLM:
                     words = split_words(lengths, blob)
                     yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in at.tolist()], pa.binary()), pa.array(count[at])], ["w", "c"])
 
-        got = totals.select("payload").mapInArrow(run, "w binary, c long").toArrow()
+        got = totals.select("payload").mapInArrow(frugal(run), "w binary, c long").toArrow()
         order = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist()))
         return {w: FIRST + i for i, (w, _) in enumerate(order)}, np.array([0] * FIRST + [c for _, c in order], np.int64)
 
@@ -194,7 +194,7 @@ class SuffixTreeLM:
             if parts:
                 yield close([np.array([START]), *parts])
 
-        got = rows.filter("flag").select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
+        got = rows.filter("flag").select("text").mapInArrow(frugal(run), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
         keys, n = got.column(0).to_numpy(), got.column(1).to_numpy()
         order = np.argsort(keys)
         return keys[order], n[order]
@@ -220,7 +220,7 @@ class SuffixTreeLM:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["block", "bucket", "n", "mark", "payload"])
 
-        return both.mapInArrow(run, "block long, bucket int, n int, mark long, payload binary")
+        return both.mapInArrow(frugal(run), "block long, bucket int, n int, mark long, payload binary")
 
     def __call__(self, docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(id, train, n_tokens, n_known, train_tokens, base_score, score), a row for each row of docs; learns where train is true."""

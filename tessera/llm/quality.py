@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc_mod
+from tessera.llm.common import crc_mod, frugal
 from tessera.llm.toxicity import logistic
 
 SOURCE_SLOTS, LANG_SLOTS = 32, 16
@@ -130,7 +130,7 @@ class QualityClassifier:
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g.tolist() for g in got], pa.list_(pa.float32()))], ["id", "y", "x"])
 
         kind = docs.schema[self.id].dataType.simpleString()
-        got = self.rows(docs).join(F.broadcast(picked), "id").select("id", "y", "text", "source", "lang").mapInArrow(run, f"id {kind}, y int, x array<float>").toArrow()
+        got = self.rows(docs).join(F.broadcast(picked), "id").select("id", "y", "text", "source", "lang").mapInArrow(frugal(run), f"id {kind}, y int, x array<float>").toArrow()
         order = np.argsort([zlib.crc32(repr(i).encode()) for i in got.column(0).to_pylist()], kind="stable")
         y = got.column(1).to_numpy()[order]
         x = np.array([v.values.to_numpy() for v in got.column(2)], float).reshape(len(y), CONTENT + META)[order]
@@ -148,7 +148,7 @@ class QualityClassifier:
                     views = np.array([content(t or b"") for t in text]), np.array([metadata(t or b"", s, g) for t, s, g in zip(text, source, lang)])
                     yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(*views))], ["id", "score"])
 
-        return self.rows(docs).mapInArrow(run, f"id {docs.schema[self.id].dataType.simpleString()}, score double")
+        return self.rows(docs).mapInArrow(frugal(run), f"id {docs.schema[self.id].dataType.simpleString()}, score double")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

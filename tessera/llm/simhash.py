@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize
+from tessera.llm.common import frugal, materialize
 from tessera.llm.components import connected_components
 
 SEED, SHINGLE = 42, 3
@@ -125,7 +125,7 @@ class SimHashDedup:
                 fp = fingerprints(x.as_buffer().to_pybytes() if x.is_valid else None for x in b.column(1).cast(pa.binary()))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
 
-        return docs.select(F.col(self.id).cast("long").alias("id"), F.col(self.text).cast("string").alias("text")).mapInArrow(run, "id long, fp long")
+        return docs.select(F.col(self.id).cast("long").alias("id"), F.col(self.text).cast("string").alias("text")).mapInArrow(frugal(run), "id long, fp long")
 
     def edges(self, reps: DataFrame) -> DataFrame:
         """reps(fp distinct, rep), a written table -> (a, b): a forest per unit that spans all links."""
@@ -164,7 +164,7 @@ class SimHashDedup:
                 k = np.flatnonzero(root != np.arange(len(v)))
                 yield pa.RecordBatch.from_arrays([pa.array(r[k]), pa.array(r[root[k]])], ["a", "b"])
 
-        return units.mapInArrow(run, "a long, b long")
+        return units.mapInArrow(frugal(run), "a long, b long")
 
     def __call__(self, docs: DataFrame) -> DataFrame:
         """(id, fingerprint, component_id), a row for each row of docs."""

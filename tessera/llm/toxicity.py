@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc_mod, materialize
+from tessera.llm.common import crc_mod, frugal, materialize
 
 #: Letters in lower case; the other ASCII characters are blanks.
 LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -128,7 +128,7 @@ class Toxicity:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sketches), pa.array(words, pa.list_(pa.binary())), b.column(1)], ["y", "sketch", "words", "text"])
 
         rows = docs.select(F.col(self.id).alias("id"), F.col(self.text).alias("text")).join(F.broadcast(picked), "id").select("y", "text")
-        rows = rows.mapInArrow(run, "y int, sketch string, words array<binary>, text string")
+        rows = rows.mapInArrow(frugal(run), "y int, sketch string, words array<binary>, text string")
         return materialize(rows.dropDuplicates(["y", "sketch"]), "sample"), counts
 
     def dictionaries(self, sample: DataFrame, n: dict[int, int]) -> tuple[bytes, bytes]:
@@ -140,7 +140,7 @@ class Toxicity:
                 own = [sorted({w[:k] for w in ws for k in range(4, min(len(w), 16) + 1)}) for ws in b.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(own, pa.list_(pa.binary()))], ["y", "p"])
 
-        parts = sample.select("y", "words").mapInArrow(run, "y int, p array<binary>").select("y", F.explode("p").alias("p"))
+        parts = sample.select("y", "words").mapInArrow(frugal(run), "y int, p array<binary>").select("y", F.explode("p").alias("p"))
         parts = parts.groupBy("p").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("o"))
         expected = (F.col("o") + 0.5) * n[1] / n[0]
         z = (F.col("t") - expected) / F.sqrt(expected)
@@ -167,7 +167,7 @@ class Toxicity:
             for b in batches:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([gain.features(t.as_py() or b"") for t in b.column(1).cast(pa.binary())], pa.list_(pa.float64()))], ["y", "x"])
 
-        got = sample.select("y", "text").mapInArrow(run, "y int, x array<double>").toArrow()
+        got = sample.select("y", "text").mapInArrow(frugal(run), "y int, x array<double>").toArrow()
         y, x = got.column(0).to_numpy().astype(float), np.array(got.column(1).to_pylist())
         mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
         w, bias = logistic((x - mean) / scale, y)
@@ -184,7 +184,7 @@ class Toxicity:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.probability(x))], ["id", "score"])
 
         rows = docs.select(F.col(self.id).alias("id"), F.col(self.text).cast("string").alias("text"))
-        return rows.mapInArrow(run, f"id {docs.schema[self.id].dataType.simpleString()}, score double")
+        return rows.mapInArrow(frugal(run), f"id {docs.schema[self.id].dataType.simpleString()}, score double")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ language teach nothing. Every row gives one row, also for repeated or null ids.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -110,7 +111,8 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 16, epochs: i
             bias -= 0.1 * p.sum(axis=0)
             np.add.at(emb, slot, -step * share[:, None] * back[owner])
         train = rng.permutation(train)
-    z = vectors(held)[3] @ out + bias if len(held) else np.zeros((0, len(languages)))
+    z = [vectors(held[s : s + batch])[3] @ out + bias for s in range(0, len(held), batch)]
+    z = np.concatenate(z) if z else np.zeros((0, len(languages)))
 
     def loss(t: float) -> float:
         q = z / t - (z / t).max(axis=1, keepdims=True)
@@ -149,7 +151,7 @@ class LanguageID:
         sample = rows.select(F.col(self.id).alias("id"), F.col(self.lang).alias("lang"), F.col(self.text).alias("text")).join(F.broadcast(picked), "id", "left_semi")
         got = sample.select("lang", "text").mapInArrow(frugal(run), "lang string, slots array<int>, shares array<float>").toArrow()
         data = [(x, s.values.to_numpy(), v.values.to_numpy()) for x, s, v in zip(got.column(0).to_pylist(), got.column(1), got.column(2)) if s.values is not None and len(s.values)]
-        return fit(sorted(data, key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))) if data else None
+        return fit(sorted(data, key=lambda r: (r[0], zlib.crc32(r[1]), zlib.crc32(r[2])))) if data else None
 
     def predict(self, docs: DataFrame, model: LanguageModel | None) -> DataFrame:
         """docs with _lang (und without a letter), _score and _rejected: without a letter, or below the calibrated threshold."""

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -63,15 +62,11 @@ def unplanes(parts: list[bytes]) -> np.ndarray:
 class Block:
     """Documents of one block: local words by falling frequency, and the sequence of their ranks."""
 
-    def __init__(self, number: int, ids: list, flags: list, tokens: list[list[bytes]], buckets: int) -> None:
+    def __init__(self, number: int, ids: list, flags: list, parts: list[np.ndarray], seen: dict[str | bytes, int], buckets: int) -> None:
+        """parts: per document the numbers of its tokens in seen."""
         self.number, self.ids, self.flags = number, ids, flags
-        self.lengths = np.fromiter(map(len, tokens), np.int32, len(tokens))
-        seen: dict[str | bytes, int] = {}
-        for doc in tokens:
-            for w in doc:
-                if w not in seen:
-                    seen[w] = len(seen)
-        raw = np.fromiter(map(seen.__getitem__, chain.from_iterable(tokens)), np.int64, int(self.lengths.sum()))
+        self.lengths = np.fromiter(map(len, parts), np.int32, len(parts))
+        raw = np.concatenate(parts)
         count = np.bincount(raw, minlength=len(seen))
         order = np.argsort(-count, kind="stable")
         rank = np.empty(len(order), np.int64)
@@ -86,19 +81,22 @@ class Block:
 
 def blocks(batches: Iterator[pa.RecordBatch], tokenize: Callable[[bytes], list[bytes]], max_tokens: int, buckets: int) -> Iterator[Block]:
     part = TaskContext.get().partitionId()
-    k, ids, flags, tokens, size = 0, [], [], [], 0
+    k, ids, flags, parts, seen, size = 0, [], [], [], {}, 0
     for b in batches:
         for i, flag, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary())):
             got = tokenize(text.as_py() or b"")
+            for w in got:
+                if w not in seen:
+                    seen[w] = len(seen)
             ids.append(i)
             flags.append(flag)
-            tokens.append(got)
+            parts.append(np.fromiter(map(seen.__getitem__, got), np.int32, len(got)))  # only distinct tokens stay
             size += len(got)
             if size >= max_tokens:
-                yield Block(part << 32 | k, ids, flags, tokens, buckets)
-                k, ids, flags, tokens, size = k + 1, [], [], [], 0
+                yield Block(part << 32 | k, ids, flags, parts, seen, buckets)
+                k, ids, flags, parts, seen, size = k + 1, [], [], [], {}, 0
     if ids:
-        yield Block(part << 32 | k, ids, flags, tokens, buckets)
+        yield Block(part << 32 | k, ids, flags, parts, seen, buckets)
 
 
 class BlockTable:

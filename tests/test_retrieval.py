@@ -200,3 +200,28 @@ def test_entry(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("block", [1, 3, 4096])
+def test_semantic_topk_in_blocks(spark, block):
+    """Against brute force: ties by id, repeated ids, null, short and NaN vectors, fewer vectors than k, no queries."""
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    x = [*rng.normal(size=(40, 8)).round(2).tolist(), *[[1.0] * 8] * 30]
+    rows = [(f"v{i:03d}", v) for i, v in enumerate(x)] + [("v001", x[0]), ("n", None), ("s", [1.0]), ("h", [None] + [1.0] * 7), ("f", [float("nan")] * 8)]
+    asked = [(1, x[0]), (2, x[-1]), (3, [0.0] * 8), (4, None), (5, x[3]), (6, [2.0])]
+    vectors = spark.createDataFrame(rows, "id string, vec array<float>").repartition(5)
+    queries = spark.createDataFrame(asked, "query_id int, vec array<float>")
+    single = lambda v: np.array(v, np.float32).astype(float)
+    for k in (1, 7, 500):
+        want = []
+        for q, v in asked:
+            if v is not None:
+                hits = [(-round(float(single(v) @ single(y)), 9), i) for i, y in rows if y and None not in y and not np.isnan(y).any() and len(y) == len(v)]
+                want += [(q, i, r + 1, round(-s, 6) + 0.0) for r, (s, i) in enumerate(sorted(hits)[:k])]
+        out = retrieval.semantic_topk(vectors, queries, k, block)
+        assert dict(out.dtypes) == {"query_id": "int", "id": "string", "score": "double", "rank": "bigint"}
+        assert sorted((r["query_id"], r["id"], r["rank"], round(r["score"], 6) + 0.0) for r in out.collect()) == sorted(want)
+    assert retrieval.semantic_topk(vectors, queries.limit(0)).count() == 0
+    assert retrieval.semantic_topk(vectors.limit(0), queries).count() == 0

@@ -179,13 +179,20 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("unit", [1024, 8])
-def test_embeddings(spark, unit):
+class ByBucket(EmbeddingDedup):
+    """Compares groups of over four units within buckets whatever that costs."""
+
+    def loose(self, members, signed):
+        return members.select("g").distinct()
+
+
+@pytest.mark.parametrize("unit, kind", [(1024, EmbeddingDedup), (8, EmbeddingDedup), (8, ByBucket)])
+def test_embeddings(spark, unit, kind):
     rng = np.random.default_rng(2)
     center = rng.normal(size=16)
     x = np.concatenate([center + rng.normal(size=(60, 16)) * 0.2, rng.normal(size=(60, 16)), np.repeat(rng.normal(size=(1, 16)), 20, axis=0)]).astype(np.float32)
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(500, None), (501, [0.0] * 16), (502, [float("nan")] + [1.0] * 15), (503, [None] + [1.0] * 15), (504, []), (505, [1.0, 0.0]), (None, x[0].tolist())]
-    out = EmbeddingDedup(max_unit=unit, miss=1e-6)(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    out = kind(max_unit=unit, miss=1e-6)(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
     n = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     near = n @ n.T >= 0.9
     want = components_by_force(range(len(x)), lambda a, b: near[a, b])

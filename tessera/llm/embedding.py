@@ -216,7 +216,8 @@ class EmbeddingDedup:
         ok = F.col("id").isNotNull() & F.col("vec").isNotNull() & ~F.exists("vec", bad) & F.exists("vec", lambda x: x != 0)
         h1, h2 = key128(F.col("vec"))
         rows = rows.withColumn("ok", F.coalesce(ok, F.lit(False))).withColumns({"h1": F.when(F.col("ok"), h1), "h2": F.when(F.col("ok"), h2)})
-        classes = materialize(rows.filter("ok").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("cnt"), F.first("vec").alias("vec")), "classes")
+        classes = rows.filter("ok").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("cnt"), F.first("vec").alias("vec"))
+        classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")  # rep: a number, as ids may repeat
         k, tables = self.plan(classes.count())
         signed = self.signatures(classes, k, tables)
         spread = signed.select("rep", *self.code, F.posexplode("sig").alias("t", "b")).select(F.xxhash64("t", "b").alias("u"), "rep", *self.code)
@@ -241,8 +242,10 @@ class EmbeddingDedup:
             found = materialize(found, "links")
             linked = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
             links = links.unionByName(found.groupBy("rep").agg(F.sum("links").alias("links")).join(linked, "rep"))
-        named = classes.select("h1", "h2", "rep", "cnt").join(links, "rep", "left").filter("cnt > 1 OR links IS NOT NULL")
-        named = materialize(named.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("cnt") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")), "named")
+        named = classes.select("h1", "h2", "rep", "id", "cnt").join(links, "rep", "left").filter("cnt > 1 OR links IS NOT NULL")
+        named = materialize(named.select("h1", "h2", "id", (F.coalesce("links", F.lit(0)) + F.col("cnt") - 1).alias("n_links"), F.coalesce("component", "rep").alias("g")), "named")
+        least = named.groupBy("g").agg(F.min("id").alias("component"))
+        named = materialize(named.join(least, "g").select("h1", "h2", "n_links", "component"), "least")
         out = rows.join(named, ["h1", "h2"], "left")
         component = F.coalesce("component", "id")
         return out.select("id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.when(F.col("id").isNotNull(), component).alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))

@@ -206,6 +206,13 @@ def test_embeddings(spark, unit, kind):
     assert EmbeddingDedup()(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embeddings_repeated_ids(spark):
+    """The rows of an id that repeats are vectors of their own: each gives one row and joins only what it links with."""
+    rows = [(7, [1.0, 0.0, 0.0]), (7, [0.0, 1.0, 0.0]), (7, [1.0, 0.0, 0.0]), (3, [0.0, 1.0, 0.01]), (9, [1.0, 0.02, 0.0]), (2, [0.0, 0.0, 1.0])]
+    out = EmbeddingDedup(miss=1e-6)(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted(tuple(r) for r in out) == [(2, 0, 2, True), (3, 1, 3, True), (7, 1, 3, False), (7, 2, 7, True), (7, 2, 7, True), (9, 2, 7, False)]
+
+
 def spoken(n=240):
     rng = np.random.default_rng(4)
     parts = {"aa": ["sha", "ren", "tion", "the"], "bb": ["eau", "oui", "que", "ch"]}

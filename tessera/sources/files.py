@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,23 +39,88 @@ def write_nested_json(df: DataFrame, path: str) -> None:
 
 
 class VectorTable:
-    """(id, values, metadata, ...) as generations of a Parquet table; an upsert writes the next one, so readers never see half of it."""
+    """(id, values, metadata, ...) as a log in one folder: a base and the deltas after it, each a Parquet table.
+
+    An upsert writes one delta, so its cost follows the rows it brings; every `every` deltas the log is merged into a new base. Only
+    parts that were written to their end count, so readers never see half an upsert, and a table opens again where it was left.
+    One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str = "id", seq: str = "seq", every: int = 8) -> None:
+        self.spark, self.path, self.key, self.seq, self.every = spark, path.rstrip("/"), key, seq, every
+
+    def _folder(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _parts(self) -> list[tuple[int, str]]:
+        """(number, name) of the whole parts, from the last base on."""
+        fs, path = self._folder()
+        new = self.spark._jvm.org.apache.hadoop.fs.Path
+        names = [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
+        parts = sorted((int(x.split("=")[1]), x) for x in names if x.startswith(("base=", "delta=")) and fs.exists(new(path, f"{x}/_SUCCESS")))
+        first = max((i for i, (_, name) in enumerate(parts) if name.startswith("base=")), default=0)
+        return parts[first:]
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path, self.generation = spark, path.rstrip("/"), 0
+    def exists(self) -> bool:
+        return bool(self._parts())
 
     def read(self) -> DataFrame:
-        if not self.generation:
+        parts = self._parts()
+        if not parts:
             raise ValueError("the table is empty")
-        return self.spark.read.parquet(f"{self.path}/generation={self.generation}")
+        tables = [self.spark.read.parquet(f"{self.path}/{name}") for _, name in parts]
+        if len(tables) == 1:
+            return tables[0]
+        rows = tables[0].withColumn("_part", F.lit(0))
+        for n, t in enumerate(tables[1:], 1):
+            rows = rows.unionByName(t.withColumn("_part", F.lit(n)), allowMissingColumns=True)
+        return last_wins(rows, self.key, self.seq, "_part").drop("_part")
 
     def clear(self) -> None:
-        self.generation = 0
-
-    def upsert(self, rows: DataFrame, key: str = "id", seq: str = "seq") -> None:
-        """Last wins by seq; rows with a null key are rejected."""
-        rows = rows.filter(F.col(key).isNotNull())
-        if self.generation:
-            rows = self.read().unionByName(rows, allowMissingColumns=True)
-        last_wins(rows, key, seq).write.mode("overwrite").parquet(f"{self.path}/generation={self.generation + 1}")
-        self.generation += 1
+        """Deletes all rows; nothing happens if there is no table."""
+        fs, path = self._folder()
+        fs.delete(path, True)
+
+    def upsert(self, rows: DataFrame) -> None:
+        """The row of the highest seq wins, at a tie the later upsert's; rows with a null key are rejected."""
+        parts = self._parts()
+        number = parts[-1][0] + 1 if parts else 1
+        last_wins(rows.filter(F.col(self.key).isNotNull()), self.key, self.seq).write.mode("overwrite").parquet(f"{self.path}/delta={number:09d}")
+        if len(parts) >= self.every:
+            self.compact()
+
+    def compact(self) -> None:
+        """Merges the log into a new base. Parts before the base stay for readers that are under way; prune() deletes them."""
+        parts = self._parts()
+        if len(parts) > 1:
+            self.read().write.mode("overwrite").parquet(f"{self.path}/base={parts[-1][0] + 1:09d}")
+
+    def prune(self) -> None:
+        fs, path = self._folder()
+        kept = {name for _, name in self._parts()}
+        for x in fs.listStatus(path) if kept else []:
+            if x.getPath().getName() not in kept:
+                fs.delete(x.getPath(), True)
+
+
+def write_document(spark: SparkSession, document: dict, path: str) -> None:
+    """One nested JSON document, as a text file in a folder."""
+    spark.createDataFrame([(json.dumps(document, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_document(spark: SparkSession, path: str, required: bool = True) -> dict:
+    """The document; {} if there is none and none is required."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        if required:
+            raise FileNotFoundError(path)
+        return {}
+    return json.loads(spark.read.text(path, wholetext=True).first()["value"])
+
+
+def read_csv_or(spark: SparkSession, path: str, fallback: DataFrame) -> DataFrame:
+    """The CSV table at path, as text; the fallback if there is none."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    return read_csv(spark, path) if there else fallback

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import chunking, evaluation, records, retrieval, serialize
+from tessera.operators import chunking, evaluation, experiments, records, retrieval, serialize
 from tessera.sources import files
 from tessera.streaming.live import stream_submissions
 
@@ -143,6 +143,55 @@ def test_records(spark, tmp_path):
     assert {(r["id"], r["t"]) for r in table.read().collect()} == {("a", "w"), ("b", "q")}
 
 
+def test_vector_table_log(spark, tmp_path):
+    """A table opens again where it was left, skips parts not written to their end, and compacts without changing its rows."""
+    path = str(tmp_path / "log")
+    want = {}
+    for n in range(7):
+        rows = [(f"k{n % 3}", n, f"t{n}"), (f"only{n}", 0, "x")]
+        want |= {k: t for k, _, t in rows}
+        files.VectorTable(spark, path, every=3).upsert(spark.createDataFrame(rows, "id string, seq long, t string"))
+    files.VectorTable(spark, path).upsert(spark.createDataFrame([("k0", -1, "older")], "id string, seq long, t string"))
+    (tmp_path / "log" / "delta=000000099").mkdir()
+    table = files.VectorTable(spark, path)
+    assert table.exists() and {r["id"]: r["t"] for r in table.read().collect()} == want
+    assert any(p.name.startswith("base=") for p in (tmp_path / "log").iterdir())
+    table.compact()
+    table.prune()
+    assert len([p for p in (tmp_path / "log").iterdir() if p.is_dir()]) == 1
+    assert {r["id"]: r["t"] for r in files.VectorTable(spark, path).read().collect()} == want
+    table.clear()
+    table.clear()
+    assert not table.exists()
+    with pytest.raises(ValueError, match="empty"):
+        table.read()
+
+
+def test_experiment(spark, tmp_path):
+    corpus = spark.createDataFrame([(i, f"title {i}", t) for i, t in DOCS], "id long, title string, text string")
+    queries = spark.createDataFrame([(1, "cat on a mat"), (2, "barks"), (3, "")], "query_id long, text string")
+    embed = lambda d: d.select("id", T.hash_embedding(T.tokens(F.coalesce("text", F.lit("")))).alias("vec"))
+    doc = experiments.experiment(corpus, embed, queries, str(tmp_path / "work"))
+    for s in doc["ablation"]["retrieval"]["summary_by_strategy"].values():
+        assert s["count"] == 3 and 0 <= s["avg_faithfulness"] <= 1 and s["avg_total_s"] >= s["avg_retrieval_s"] > 0
+    assert [s["chunk_count"] for s in doc["ablation"]["chunking"]["summary_by_chunking"].values()] == [chunking.chunk_dataset(corpus, m).count() for m in ("fixed", "recursive")]
+    assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", doc["run_at"])
+    path = str(tmp_path / "doc")
+    files.write_document(spark, doc, path)
+    assert files.read_document(spark, path) == doc
+    with pytest.raises(FileNotFoundError):
+        files.read_document(spark, path + "x")
+    assert files.read_document(spark, path + "x", required=False) == {}
+    table = spark.createDataFrame(experiments.ablation_rows(doc), list(experiments.CSV))
+    assert files.read_csv_or(spark, str(tmp_path / "csv"), table).count() == 5
+    files.append_csv(table, str(tmp_path / "csv"))
+    got = files.read_csv_or(spark, str(tmp_path / "csv"), table.limit(0))
+    assert sorted(r["Strategy"] for r in got.collect()) == ["Chunking: Fixed (Hybrid + RRF + CE)", "Chunking: Recursive (Hybrid + RRF + CE)", "Hybrid + RRF", "Hybrid + RRF + CE", "Semantic only"]
+    text = experiments.report(doc)
+    assert "| Hybrid + RRF + CE |" in text and text.count("- ") >= 1
+    assert "| 0 | 0.0% |" in experiments.report({})
+
+
 def test_files(spark, tmp_path):
     rows = [(1, 'a "quoted", comma', "line\nbreak"), (2, "é", None)]
     df = spark.createDataFrame(rows, "k long, a string, b string")

@@ -39,7 +39,8 @@ CANDIDATES = (
     r"(?<![0-9])[0-9]{4}(?:[./_\x20-][0-9]{4}){2}[./_\x20-][0-9]{1,7}+",
     r"(?<![0-9+])(?:\([0-9]{3}\)\x20?|0[0-9]{2,4}[\x20/-]|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-]?[0-9]{3,5}+",
 )
-OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
+# All-zero parts are whole without what follows; zeros are never given back, so long runs cost one pass.
+OCTET = r"(?=[0-9])0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])?"
 HINT = r"(?i)(?:tel|phone|call|mobile|fax|mail|contact|reach|write|card|visa|pay|account|ip|host|server|address|from|t\.)[\x20:.=a-z]{0,10}$"
 AGAINST = r"(?i)(?:order|invoice|version|ver|isbn|serial|ref|part|article|page|date|time|price|total|no\.|nr\.|#|id)[\x20:.=a-z]{0,6}$"
 FEATURES = ("kind", "length", "digits", "others", "luhn", "hint", "against", "alnum_before", "alnum_after", "marks", "zero")

@@ -330,3 +330,12 @@ def test_pii(spark, docs, none):
     assert got[5][1].count(":") == 4 and got[9][1] == ""
     assert op.redact(found.filter("id = 4")).first()["redacted"] == "é\U0001f600 [CARD] [PHONE]"
     assert op(docs, model).count() == docs.count() and op(none, model).count() == 0
+
+
+def test_pii_zero_parts(spark):
+    """A part of an address may be zero, however long; only parts over 255 are barred."""
+    texts = ["10.0.0.1", "0.0.0.0", "1.2.3.000", "192.168.0.1 127.0.0.1 8.8.8.0", "0.0.0.256 256.0.0.0 0.0.0.0255 00.1.2.3", "10.20.30.40 1.2.3.4 1.00260.3.4", "0." + "0" * 4000 + ".0.1"]
+    found = PIIFinder().proposals(spark.createDataFrame(list(enumerate(texts)), "id long, text string"))
+    for r in found.select("id", written("_base").alias("b")).collect():
+        assert r["b"] == spans_by_force(texts[r["id"]])
+        assert r["id"] > 3 or r["b"].count("ip:") == texts[r["id"]].count(" ") + 1

@@ -68,6 +68,14 @@ def restore(df: DataFrame, docs: DataFrame, **values: Column) -> list[Column]:
     return [(values[c] if c in values else F.col("_row").getField(c)).alias(c) for c in docs.columns]
 
 
+def fresh(name: str, docs: DataFrame) -> str:
+    """name for a column that an operator adds to docs, with one underscore more for each time that docs has it already."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def is_plain_scan(df: DataFrame) -> bool:
     """True if df's partitions come straight from files, so that two reads of it see the same rows in the same tasks."""
     plan = df._jdf.queryExecution().optimizedPlan().toString()

@@ -2,12 +2,15 @@
 
 A text's vector is the mean embedding of its byte 3- and 4-grams (A-Z lower-cased, everything ASCII but letters taken for blanks),
 hashed into a fixed number of slots. Training uses a bounded sample: the per_language texts of each language with the smallest
-hash of their id, as sparse slot shares, a fifth of them held back to calibrate the temperature of the softmax and the rejection
-threshold. As the model is linear after the average, scoring adds one precomputed row of class weights per n-gram; each text
+hash of their id and text, as sparse slot shares, a fifth of them held back to calibrate the temperature of the softmax and the rejection
+threshold. One more class stands for no language at all: it learns from the same texts with their letters shuffled, from runs of a letter
+and from bytes of other scripts, and starts ahead, as n-grams that were never seen speak for no language. A text is rejected if that class is likelier than not, and than for all but one in a thousand held-back
+texts; the language and its score are those of the best language whatever the rejection says. As the model is linear after the average, scoring adds one precomputed row of class weights per n-gram; each text
 is scored whole, in the task that reads it, and nothing is shuffled.
 
 Defined results. A null text or one without a letter is `und` with score 0. With no labelled rows every text is `und`. Rows with a null
-language teach nothing. Every row gives one row, also for repeated or null ids. Further columns pass through.
+language teach nothing. Every row gives one row, also for repeated or null ids. Further columns pass through; where docs
+has a column named like an added one, the added one gets another underscore (fresh()).
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc_mod, frugal
+from tessera.llm.common import crc_mod, fresh, frugal, others, restore
 
 SLOTS_BITS = 16
 TABLE = np.array([c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256)], np.uint8)
@@ -39,6 +42,23 @@ def slots(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(places)
 
 
+def no_language(text: bytes) -> bytes:
+    """A text of no language made from another by a rule: its letters shuffled, a run of one letter, or bytes of other scripts."""
+    import zlib
+
+    seed = zlib.crc32(text)
+    rng = np.random.default_rng(seed)
+    x = TABLE[np.frombuffer(text, np.uint8)].copy()
+    at = np.flatnonzero(x != 32)
+    if seed % 4 == 0 and len(at):
+        x[at] = rng.integers(97, 123)
+    elif seed % 4 == 1:
+        x[at] = rng.integers(128, 256, len(at), dtype=np.uint8)
+    else:
+        x[at] = x[rng.permutation(at)]
+    return x.tobytes()
+
+
 def shares(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """The slots of a text and the share of its n-grams in each."""
     got, _ = slots(np.frombuffer(b" " + text + b" ", np.uint8))
@@ -49,43 +69,49 @@ def shares(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class LanguageModel:
     languages: list[str]
-    weights: np.ndarray  # of each slot and language
+    weights: np.ndarray  # of each slot and language, and of no language last
     bias: np.ndarray
     temperature: float
     threshold: float
 
-    def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(language number, calibrated probability) of each text."""
+    def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(language number, calibrated probability among the languages, whether it is rejected) of each text."""
         if not texts:
-            return np.zeros(0, np.int64), np.zeros(0)
-        logits = np.empty((len(texts), len(self.languages)))
+            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool)
+        size = len(self.languages) + 1
+        logits = np.empty((len(texts), size))
         for i, text in enumerate(texts):
-            total, n = np.zeros(len(self.languages)), 0
+            total, n = np.zeros(size), 0
             raw = np.frombuffer(b" " + text + b" ", np.uint8)
             for s in range(0, len(raw), 1 << 20):  # pieces that share three bytes, so that no 4-gram is lost or, but for 3-grams at a seam, met twice
                 got, _ = slots(raw[max(0, s - 3) : s + (1 << 20)])
                 total += np.bincount(got, minlength=1 << SLOTS_BITS) @ self.weights if len(got) > 1 << 15 else self.weights[got].sum(axis=0, dtype=np.float64)
                 n += len(got)
             logits[i] = total / max(1, n) + self.bias
-        return best(logits / self.temperature)
+        k, p, none = best(logits / self.temperature)
+        return k, p, none > self.threshold
 
 
-def best(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def best(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(best language, its probability among the languages, the probability of no language)."""
     p = np.exp(logits - logits.max(axis=1, keepdims=True))
     p /= p.sum(axis=1, keepdims=True)
-    k = p.argmax(axis=1)
-    return k, p[np.arange(len(p)), k]
+    own = np.exp(logits[:, :-1] - logits[:, :-1].max(axis=1, keepdims=True))
+    own /= own.sum(axis=1, keepdims=True)
+    k = own.argmax(axis=1)
+    return k, own[np.arange(len(p)), k], p[:, -1]
 
 
-def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 16, epochs: int = 6, batch: int = 32, rate: float = 20.0, seed: int = 7) -> LanguageModel:
-    """Stochastic gradient descent on (language, slots, shares); a fifth of the rows calibrates."""
+def fit(rows: list[tuple[str | None, np.ndarray, np.ndarray]], dim: int = 16, epochs: int = 4, batch: int = 32, rate: float = 20.0, lead: float = 3.0, seed: int = 7) -> LanguageModel:
+    """Stochastic gradient descent on (language or None, slots, shares); a fifth of the rows calibrates."""
     rng = np.random.default_rng(seed)
-    languages = sorted({r[0] for r in rows})
-    y = np.array([languages.index(r[0]) for r in rows])
+    languages = sorted({r[0] for r in rows if r[0] is not None})
+    size = len(languages) + 1
+    y = np.array([len(languages) if r[0] is None else languages.index(r[0]) for r in rows])
     order = rng.permutation(len(rows))
     held, train = order[: len(rows) // 5], order[len(rows) // 5 :]
-    emb = rng.normal(0, 1 / np.sqrt(dim), (1 << SLOTS_BITS, dim))
-    out, bias = np.zeros((dim, len(languages))), np.zeros(len(languages))
+    emb = rng.normal(0, 1 / np.sqrt(dim), (1 << SLOTS_BITS, dim)).astype(np.float32)
+    out, bias = np.zeros((dim, size)), np.append(np.zeros(size - 1), lead)
 
     def vectors(pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         slot = np.concatenate([rows[i][1] for i in pick])
@@ -109,21 +135,23 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 16, epochs: i
             back = p @ out.T
             out -= step * (v.T @ p)
             bias -= 0.1 * p.sum(axis=0)
-            np.add.at(emb, slot, -step * share[:, None] * back[owner])
+            if len(slot):  # the sum of a slot's gradients, slot by slot
+                by = np.argsort(slot, kind="stable")
+                first = np.flatnonzero(np.diff(slot[by], prepend=-1))
+                emb[slot[by[first]]] -= step * np.add.reduceat(share[by, None] * back[owner[by]], first).astype(np.float32)
         train = rng.permutation(train)
     z = [vectors(held[s : s + batch])[3] @ out + bias for s in range(0, len(held), batch)]
-    z = np.concatenate(z) if z else np.zeros((0, len(languages)))
+    z = np.concatenate(z) if z else np.zeros((0, size))
 
     def loss(t: float) -> float:
         q = z / t - (z / t).max(axis=1, keepdims=True)
         return float((np.log(np.exp(q).sum(axis=1)) - q[np.arange(len(q)), y[held]]).mean())
 
     temperature = min((1.25**k for k in range(16)), key=loss) if len(held) else 1.0
-    threshold = 0.0
-    if len(held):
-        k, p = best(z / temperature)
-        right = p[k == y[held]]
-        threshold = float(np.quantile(right, 0.001)) / 2 if len(right) else 0.0
+    threshold = 0.5
+    real = (y[held] < len(languages)) & (np.array([len(rows[i][1]) for i in held]) >= 40)  # a few words may be anything
+    if real.any():
+        threshold = max(0.5, float(np.quantile(best(z[real] / temperature)[2], 0.999)))
     return LanguageModel(languages, (emb @ out).astype(np.float32), bias, temperature, threshold)
 
 
@@ -134,46 +162,50 @@ class LanguageID:
     def learn(self, docs: DataFrame, train: Column) -> LanguageModel | None:
         """The model from the bounded sample; None without labelled rows. Only ids, then only the sample's shares, leave the tasks."""
         rows = docs.filter(train & F.col(self.lang).isNotNull() & F.col(self.text).isNotNull() & F.col(self.id).isNotNull())
-        by = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 40)), "id")
+        by = Window.partitionBy("lang").orderBy("cut", "id", "th")
         size = rows.groupBy(F.col(self.lang).alias("lang")).agg(F.count("*").alias("size"))
-        slim = rows.select(F.col(self.lang).alias("lang"), F.col(self.id).alias("id"), F.xxhash64(self.id).alias("h"))
-        # A first cut by the hash leaves about twice per_language ids of a language, however common it is, for the ranking. The languages
-        # are the classes of the softmax, so their table is as small as the model.
-        slim = slim.join(F.broadcast(size), "lang").filter(F.pmod("h", F.lit(1 << 40)) < F.lit(2.0 * self.per_language * (1 << 40)) / F.col("size")).drop("size")
-        picked = slim.withColumn("n", F.row_number().over(by)).filter(F.col("n") <= self.per_language).select("id").distinct()
+        th = F.xxhash64(F.col(self.text)).alias("th")
+        slim = rows.select(F.col(self.lang).alias("lang"), F.col(self.id).alias("id"), th).withColumn("cut", F.pmod(F.xxhash64("id", "th"), F.lit(1 << 40)))
+        # A first cut by the hash leaves about twice per_language rows of a language, however common it is, for the ranking. The languages
+        # are the classes of the softmax, so their table is as small as the model. Equal rows count once, so that a repeated id adds nothing.
+        slim = slim.join(F.broadcast(size), "lang").filter(F.col("cut") < F.lit(2.0 * self.per_language * (1 << 40)) / F.col("size")).drop("size").distinct()
+        picked = slim.withColumn("n", F.row_number().over(by)).filter(F.col("n") <= self.per_language).select("lang", "id", "th")
 
         def run(batches):
             for b in batches:
                 texts = [t.as_py() or b"" for t in b.column(1).cast(pa.binary())]
                 got = [shares(t) for t in texts] + [shares(t[len(t) // 2 : len(t) // 2 + 60]) for t in texts]  # with a short piece of each
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(0)] * 2), pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.float32()))], ["lang", "slots", "shares"])
+                got += [shares(no_language(t[:4000])) for t in texts]  # a negative needs no more of a text than that
+                names = pa.concat_arrays([b.column(0)] * 2 + [pa.nulls(b.num_rows, pa.string())])
+                yield pa.RecordBatch.from_arrays([names, pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.float32()))], ["lang", "slots", "shares"])
 
-        sample = rows.select(F.col(self.id).alias("id"), F.col(self.lang).alias("lang"), F.col(self.text).alias("text")).join(F.broadcast(picked), "id", "left_semi")
+        sample = rows.select(F.col(self.lang).alias("lang"), F.col(self.id).alias("id"), th, F.col(self.text).alias("text")).join(F.broadcast(picked), ["lang", "id", "th"], "left_semi").dropDuplicates(["lang", "id", "th"])
         got = sample.select("lang", "text").mapInArrow(frugal(run), "lang string, slots array<int>, shares array<float>").toArrow()
         data = [(x, s.values.to_numpy(), v.values.to_numpy()) for x, s, v in zip(got.column(0).to_pylist(), got.column(1), got.column(2)) if s.values is not None and len(s.values)]
-        return fit(sorted(data, key=lambda r: (r[0], zlib.crc32(r[1]), zlib.crc32(r[2])))) if data else None
+        order = sorted(data, key=lambda r: (r[0] is None, r[0] or "", zlib.crc32(r[1]), zlib.crc32(r[2])))
+        return fit(order) if any(r[0] is not None for r in order) else None
 
     def predict(self, docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-        """docs with _lang (und without a letter), _score and _rejected: without a letter, or below the calibrated threshold."""
-        letters = F.coalesce(F.col(self.text).rlike(r"\p{L}"), F.lit(False))
+        """docs with _lang (und without a letter), _score and _rejected: without a letter, or likelier of no language by the calibrated threshold."""
+        names = [fresh(n, docs) for n in ("_lang", "_score", "_rejected")]
         if model is None:
-            return docs.withColumns({"_lang": F.lit("und"), "_score": F.lit(0.0), "_rejected": F.lit(True)})
-        names = docs.columns
-        rows = docs.withColumns({"_letters": letters})
-        at = names.index(self.text)
+            return docs.withColumns(dict(zip(names, (F.lit("und"), F.lit(0.0), F.lit(True)))))
+        letters = F.coalesce(F.col(self.text).rlike(r"\p{L}"), F.lit(False)).alias("ok")
+        rows = docs.select(others(docs, self.text), F.col(self.text).cast("string").alias("text"), letters)
 
         def run(batches):
             for b in batches:
-                text = b.column(at).cast(pa.binary())
-                ok = np.flatnonzero(b.column(len(names)).to_numpy(zero_copy_only=False))
-                k, p = model.score([text[i].as_py() for i in ok.tolist()])
-                lang, score = np.full(b.num_rows, "und", object), np.zeros(b.num_rows)
-                lang[ok], score[ok] = np.array(model.languages, object)[k], p
-                out = [*b.columns[: len(names)], pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array((lang == "und") | (score < model.threshold))]
-                yield pa.RecordBatch.from_arrays(out, [*names, "_lang", "_score", "_rejected"])
-
-        schema = docs.withColumns({"_lang": F.lit("a"), "_score": F.lit(0.5), "_rejected": F.lit(True)}).schema
-        return rows.mapInArrow(frugal(run), schema)
+                text = b.column(1).cast(pa.binary())
+                ok = np.flatnonzero(b.column(2).to_numpy(zero_copy_only=False))
+                k, p, no = model.score([text[i].as_py() for i in ok.tolist()])
+                lang, score, rejected = np.full(b.num_rows, "und", object), np.zeros(b.num_rows), np.ones(b.num_rows, bool)
+                lang[ok], score[ok], rejected[ok] = np.array(model.languages, object)[k], p, no
+                out = [*b.columns[:2], pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(rejected)]
+                yield pa.RecordBatch.from_arrays(out, ["_row", "text", "lang", "score", "rejected"])
+
+        schema = rows.select("_row", "text", F.lit("a").alias("lang"), F.lit(0.5).alias("score"), F.lit(True).alias("rejected")).schema
+        scored = rows.mapInArrow(frugal(run), schema)
+        return scored.select(*restore(scored, docs, **{self.text: F.col("text")}), *(F.col(c).alias(n) for c, n in zip(("lang", "score", "rejected"), names)))
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ which lets adaptive execution split a hot key. Text moves once, by document.
 
 Defined results. A null or empty text is one empty line. Keys under min_chars code points never count. A document is its id:
 repeated rows of one id are one document, each row keeps or loses its own lines. Rows with a null id pass unchanged and own no
-key. An empty table gives an empty result. Further columns pass through, whatever their names.
+key. An empty table gives an empty result. Further columns pass through, whatever their names; one named like a column that is added
+keeps its name, and the added one gets another underscore.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BLANKS, ascii_lower, key128, materialize, others, restore, scratch_path, width
+from tessera.llm.common import BLANKS, ascii_lower, fresh, key128, materialize, others, restore, scratch_path, width
 
 
 def line_key(line: Column) -> Column:
@@ -95,7 +96,7 @@ class LineDedup:
         return lines.join(shared, ["h1", "h2"]).filter(F.col("seen") | (F.col("id") != F.col("owner"))).select("id", "th", "pos")
 
     def __call__(self, docs: DataFrame) -> DataFrame:
-        """docs with the kept lines as text, plus _n_lines and _n_dropped (long)."""
+        """docs with the kept lines as text, plus _n_lines and _n_dropped (long), under the names that fresh() gives."""
         spark = docs.sparkSession
         cuts = docs.agg(F.percentile_approx(self.id, [i / self.n_batches for i in range(1, self.n_batches)], 1000)).first()[0] or []
         cuts = sorted(set(cuts))
@@ -117,7 +118,7 @@ class LineDedup:
         left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
         kept = F.when(F.col("gone").isNull(), F.array_join("lines", "\n")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("lines"), i)), "\n"))
         dropped = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size(F.array_distinct("gone")))
-        return rows.select(*restore(rows, docs, **{self.text: F.when(~F.col("absent"), kept)}), F.size("lines").cast("long").alias("_n_lines"), dropped.cast("long").alias("_n_dropped"))
+        return rows.select(*restore(rows, docs, **{self.text: F.when(~F.col("absent"), kept)}), F.size("lines").cast("long").alias(fresh("_n_lines", docs)), dropped.cast("long").alias(fresh("_n_dropped", docs)))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ one is encoded once there for all blocks, the ids are joined back and put in ord
 every id with the token-byte table, which has one entry per token of the vocabulary and so a fixed size.
 
 Defined results. A null or empty text has no tokens and decodes to no bytes. Every row gives one row, also for repeated or null
-ids. An empty table gives an empty result; further columns are not read. Special tokens are ordinary text.
+ids. An empty table gives an empty result; further columns are not read. Special tokens are ordinary text. Bytes
+that are not UTF-8 count as U+FFFD, one for each ill-formed sequence.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ class ByteBPE:
                 import regex
 
                 cache.append(regex.compile(pattern).findall)
-            return cache[0](text.decode())
+            return cache[0](text.decode(errors="replace"))
 
         return tokenize
 

@@ -9,7 +9,7 @@ spanning forest of its links, never all pairs; components come from connected_co
 
 Defined results. A null or empty text has no words and the fingerprint zero, linked like any other. One or two words are one
 shingle. Rows with a null id get a fingerprint, no link and a null component. Rows that repeat an id are placed each by its own
-fingerprint. An empty table gives an empty result; further columns are not read.
+fingerprint: fingerprints, not ids, are the nodes of the graph. An empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -118,24 +118,25 @@ class SimHashDedup:
         self.budget, self.max_node, self.id, self.text = budget, max_node, id_col, text_col
 
     def fingerprints(self, docs: DataFrame) -> DataFrame:
-        """(id, fp long) of every row."""
+        """(id, th, fp long) of every row; th is xxhash64 of the text."""
 
         def run(batches):
             for b in batches:
-                fp = fingerprints(x.as_buffer().to_pybytes() if x.is_valid else None for x in b.column(1).cast(pa.binary()))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["id", "fp"])
+                fp = fingerprints(x.as_buffer().to_pybytes() if x.is_valid else None for x in b.column(2).cast(pa.binary()))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["id", "th", "fp"])
 
-        return docs.select(F.col(self.id).cast("long").alias("id"), F.col(self.text).cast("string").alias("text")).mapInArrow(frugal(run), "id long, fp long")
+        text = F.col(self.text).cast("string")
+        return docs.select(F.col(self.id).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(frugal(run), "id long, th long, fp long")
 
     def edges(self, reps: DataFrame) -> DataFrame:
-        """reps(fp distinct, rep), a written table -> (a, b): a forest per unit that spans all links."""
+        """reps(fp distinct), a written table -> fingerprints (a, b): a forest per unit that spans all links."""
         blocks = [F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in (3, 2, 1, 0)]
         layouts = []
         for t, (i, j) in enumerate(combinations(range(4), 2)):
             k, m = (x for x in range(4) if x not in (i, j))
             pair = lambda x, y: F.shiftleft(blocks[x], 16).bitwiseOR(blocks[y])
             layouts.append(F.struct(F.lit(t).alias("t"), pair(i, j).alias("head"), pair(k, m).alias("rest")))
-        laid = reps.select("rep", F.explode(F.array(*layouts)).alias("x")).select("rep", "x.*")
+        laid = reps.select("fp", F.explode(F.array(*layouts)).alias("x")).select("fp", "x.*")
         counts = materialize(laid.groupBy("t", "head").agg(F.count("*").alias("n")).filter("n > 1"), "nodes")
         nodes = laid.join(counts, ["t", "head"])
         # The masks of at most two of the 19 bits that follow.
@@ -145,7 +146,7 @@ class SimHashDedup:
         pairs = F.transform(F.array(*(F.lit(x).cast("long") for x in masks)), lambda m: F.shiftleft(F.least(p, p.bitwiseXOR(m)), deep).bitwiseOR(F.greatest(p, p.bitwiseXOR(m))))
         whole = nodes.filter(F.col("n") <= self.max_node).withColumn("unit", F.lit(-1).cast("long"))
         cut = nodes.filter(F.col("n") > self.max_node).withColumn("unit", F.explode(pairs))
-        units = whole.unionByName(cut).groupBy("t", "head", "unit").agg(F.collect_list(F.struct("rest", "rep")).alias("m")).select(F.col("m.rest").alias("rest"), F.col("m.rep").alias("rep"))
+        units = whole.unionByName(cut).groupBy("t", "head", "unit").agg(F.collect_list(F.struct("rest", "fp")).alias("m")).select(F.col("m.rest").alias("rest"), F.col("m.fp").alias("fp"))
         budget = self.budget
 
         def run(batches):
@@ -166,14 +167,20 @@ class SimHashDedup:
 
         return units.mapInArrow(frugal(run), "a long, b long")
 
-    def __call__(self, docs: DataFrame) -> DataFrame:
-        """(id, fingerprint, component_id), a row for each row of docs."""
+    def groups(self, docs: DataFrame) -> DataFrame:
+        """(id, th, fp, g, component_id), a row for each row of docs. g, a fingerprint, names the component; its smallest id needn't be its alone."""
         fps = materialize(self.fingerprints(docs), "fps")
         reps = materialize(fps.filter("id is not null").groupBy("fp").agg(F.min("id").alias("rep")), "reps")
-        linked = connected_components(self.edges(reps))
-        named = materialize(reps.join(linked, reps["rep"] == linked["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "named")
-        out = fps.join(named, "fp", "left")
-        return out.select(F.col("id").alias(self.id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+        linked = materialize(connected_components(self.edges(reps)).select(F.col("node").alias("fp"), F.col("component").alias("g")), "linked")
+        least = materialize(linked.join(reps, "fp").groupBy("g").agg(F.min("rep").alias("least")), "least")
+        named = reps.join(linked.join(least, "g"), "fp", "left").select("fp", F.coalesce("g", "fp").alias("g"), F.coalesce("least", "rep").alias("component_id"))
+        out = fps.join(materialize(named, "named"), "fp", "left")
+        known = F.col("id").isNotNull()
+        return out.select("id", "th", "fp", F.when(known, F.col("g")).alias("g"), F.when(known, F.col("component_id")).alias("component_id"))
+
+    def __call__(self, docs: DataFrame) -> DataFrame:
+        """(id, fingerprint, component_id), a row for each row of docs."""
+        return self.groups(docs).select(F.col("id").alias(self.id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,8 +139,8 @@ class BlockTable:
 
         return self.docs.mapInArrow(frugal(run), SEQS)
 
-    def assemble(self, answers: DataFrame, finish: Callable, schema: str, width: int) -> DataFrame:
-        """answers(block, bucket, n, mark, payload) meet their block. finish(ids, flags, lengths, seq, per_bucket) yields batches; per_bucket: (ranks of the bucket's words, payload)."""
+    def assemble(self, answers: DataFrame, finish: Callable, schema: str, width: int, numbered: bool = False) -> DataFrame:
+        """answers(block, bucket, n, mark, payload) meet their block. finish(ids, flags, lengths, seq, per_bucket) yields batches; per_bucket: (ranks of the bucket's words, payload). numbered: the block's number comes first."""
         empty = [F.lit(None).cast(t).alias(c) for c, t in (("ids", "array<long>"), ("flags", "array<boolean>"), ("lengths", "array<int>"))]
         both = self.sequences().unionByName(answers.select("block", "bucket", "n", "mark", *empty, "payload"))
         both = both.repartition(width, "block").sortWithinPartitions("block", "bucket")
@@ -153,7 +153,7 @@ class BlockTable:
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], [r[1] for r in rest]), np.searchsorted(bucket[order], [r[1] for r in rest], "right")
             per = [(order[s:e], r[4]) for s, e, r in zip(*(c.tolist() for c in cuts), rest)]
-            yield from finish(head["ids"], head["flags"], np.array(head["lengths"], np.int64), seq, per)
+            yield from finish(*[head["block"]] * numbered, head["ids"], head["flags"], np.array(head["lengths"], np.int64), seq, per)
 
         def run(batches):
             head, rest = None, []
@@ -162,7 +162,7 @@ class BlockTable:
                     if b.column(1)[k].as_py() < 0:
                         if head is not None:
                             yield from close(head, rest)
-                        head, rest = {c: b.column(c)[k].as_py() for c in ("n", "mark", "ids", "flags", "lengths", "payload")}, []
+                        head, rest = {c: b.column(c)[k].as_py() for c in ("block", "n", "mark", "ids", "flags", "lengths", "payload")}, []
                     else:
                         rest.append(tuple(b.column(c)[k].as_py() for c in ("block", "bucket", "n", "mark", "payload")))
             if head is not None:

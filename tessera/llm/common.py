@@ -42,6 +42,15 @@ def materialize(df: DataFrame, tag: str, partition_by: tuple[str, ...] = ()) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, tag: str, parts: int, key: str) -> DataFrame:
+    """df as a written table bucketed by key, so that a join on it leaves it where it is. Its name is gone from the catalog at once."""
+    spark, name = df.sparkSession, f"tessera_{tag}_{uuid.uuid4().hex[:16]}"
+    df.write.format("parquet").bucketBy(parts, key).option("path", scratch_path(spark, tag)).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z and nothing else. lower() has a fast path for plain ASCII; other text goes through translate()."""
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

@@ -1,134 +1,147 @@
 """Language-model scoring by a probabilistic suffix tree over tokens.
 
 The root holds every token of the training documents; one further outcome stands for all unknown words, as in the base score. Its
-distribution is discounted by the Good-Turing estimate, and what is taken off is the unknown outcome's. Deeper states are contexts
-of one, two or more preceding tokens (the start of a text is one). As usual in suffix-tree learning, a string is a candidate
-only if it makes up at least p_min of all tokens, which limits each depth to 1 / p_min strings whatever the corpus: the tree may be
-sent to every executor, while the root, which grows with the corpus, is looked up by shuffle. A context is retained if its
-distribution diverges from that of its suffix: the gain in log-likelihood must exceed `gain` nats for each of its entries. Retained
-contexts pass the mass of symbols they don't list, and of an absolute discount, on to their suffix, so every state's
-distribution sums to one. A token is scored in the longest retained suffix of what precedes it.
-
-Counts cover all training documents. Blocks send their distinct words with counts to buckets (see blocks.py); a bucket's total is
-made once for each distinct word; counts return to the blocks, and documents sum over their tokens.
+distribution is discounted by the Good-Turing estimate, and what is taken off is the unknown outcome's. Deeper states are contexts of one
+or two preceding tokens (the start of a text is one). A string of two or three tokens is a candidate if it occurs at least min_count times
+in the training texts, so the tree grows with the corpus. A context is retained if its distribution diverges from that of its suffix: the
+gain in log-likelihood must exceed `gain` nats for each of its candidates. Retained contexts pass the mass of symbols they don't list, and
+of an absolute discount, on to their suffix, so every state's distribution sums to one. A token is scored in the longest retained suffix
+of what precedes it.
+
+Nothing of the tree is broadcast or collected: it is made of written tables and joined by shuffle. Counts cover all training documents.
+
+1. Blocks send their distinct words with counts to buckets (see blocks.py). A bucket adds them up, numbers the words of at least min_count
+   and answers each block. Blocks then lie coded, by their number, in a bucketed table, and later answers join them where they are.
+2. For each depth, blocks send their distinct strings of numbered tokens, with counts, to buckets by string (so no context is hot) and
+   get back for each the share that its context gives it. Strings with a part that is no candidate are not sent. In between, candidates,
+   their contexts and the divergence tests are joins and grouped sums of written tables.
+3. Documents sum over their tokens.
 
 Defined results. A null or empty text has one token, its end. Rows with a null id are scored, not learned from and not held out. With
-nothing to learn from every probability is one. Further columns are not read.
+nothing to learn from every probability is one. Every row gives one row, also for repeated ids. Further columns are not read.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.blocks import BlockTable, join_words, pack, planes, split_words, unpack, unplanes
-from tessera.llm.common import crc_mod, frugal, materialize, width
+from tessera.llm.common import bucketed, crc_mod, frugal, materialize, width
 
-#: Numbers of frequent tokens; words follow. A string of up to three fits 60 bits, hence at most 2^20 frequent tokens.
-END, START, FIRST, BITS = 0, 1, 2, 20
+#: Numbers of tokens; words follow. ANY in place of a symbol asks for what a context passes on to its suffix.
+END, START, FIRST, BITS = 0, 1, 2, 31
+ANY = (1 << BITS) - 1
+STRINGS = "block long, bucket int, n int, payload binary"
 
 
 def tokenize(text: bytes) -> list[bytes]:
     return text.lower().split()  # of bytes: A-Z, and the six ASCII blanks
 
 
-def find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place in the sorted table, whether it is there)."""
-    if not len(table):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return at, table[at] == keys
-
-
-@dataclass
-class Tree:
-    """Per depth from 1: the retained contexts (sorted), the share they pass on, their entries (context and symbol) with their shares."""
-
-    contexts: list[np.ndarray] = field(default_factory=list)
-    passed: list[np.ndarray] = field(default_factory=list)
-    entries: list[np.ndarray] = field(default_factory=list)
-    shares: list[np.ndarray] = field(default_factory=list)
-
-    def probabilities(self, before: list[np.ndarray], symbol: np.ndarray, root: np.ndarray) -> np.ndarray:
-        """P(symbol | longest retained suffix). before: the tokens one, two ... places earlier, -1 where none or not frequent."""
-        p = root.astype(np.float64).copy()
-        live, context = np.arange(len(p)), np.zeros(len(p), np.int64)
-        for d in range(len(self.contexts)):
-            ok = before[d][live] >= 0
-            live, context = live[ok], context[ok]
-            context = context | before[d][live] << (BITS * d)
-            at, hit = find(self.contexts[d], context)
-            live, context, at = live[hit], context[hit], at[hit]
-            if not len(live):
-                break
-            p[live] *= self.passed[d][at]
-            known = symbol[live] >= 0
-            own = live[known]
-            at, hit = find(self.entries[d], context[known] << BITS | symbol[own])
-            p[own[hit]] += self.shares[d][at[hit]]
-        return p
-
-
-def grow(levels: list[tuple[np.ndarray, np.ndarray]], single: np.ndarray, root: np.ndarray, gain: float, discount: float = 0.5) -> Tree:
-    """The tree. levels: per depth from 1 the frequent strings (sorted) and counts; single: how often each token is a context; root: its probability."""
-    tree, one = Tree(), (1 << BITS) - 1
-    for d, (strings, n) in enumerate(levels, 1):
-        context, symbol = strings >> BITS, strings & one
-        if d == 1:
-            total = single[context]
-        else:
-            at, hit = find(levels[d - 2][0], context)
-            at2, kept = find(tree.contexts[-1], context & ((1 << BITS * (d - 1)) - 1))
-            ok = hit & kept
-            strings, n, context, symbol, at = (x[ok] for x in (strings, n, context, symbol, at))
-            total = levels[d - 2][1][at]
-        before = [(context >> (BITS * k)) & one for k in range(d - 1)]
-        lower = tree.probabilities(before, symbol, root[symbol])
-        won = n * np.log(n / total / lower)
-        head = np.flatnonzero(np.diff(context, prepend=-1))
-        if not len(head):
-            break
-        size = np.diff(np.append(head, len(context)))
-        retained = np.add.reduceat(won, head) >= gain * size
-        share = (n - discount) / total
-        tree.contexts.append(context[head][retained])
-        tree.passed.append(1 - np.add.reduceat(share, head)[retained])
-        keep = np.repeat(retained, size)
-        tree.entries.append(strings[keep])
-        tree.shares.append(share[keep])
-        if not retained.any():
-            break
-    return tree
-
-
-def strings_of(tokens: np.ndarray, depth: int, allowed: np.ndarray | None) -> np.ndarray:
-    """The strings of depth + 1 frequent tokens; with allowed, only those whose two substrings of depth tokens are in it."""
-    n = len(tokens) - depth
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    parts = [tokens[k : k + n] for k in range(depth + 1)]
-    ok = parts[0] >= 0
-    for p in parts[1:]:
-        ok &= (p >= 0) & (p != START)
-    ok &= parts[0] != END  # the end of the text before
-    key = np.zeros(int(ok.sum()), np.int64)
-    for p in parts:
-        key = key << BITS | p[ok]
-    if allowed is not None:
-        key = key[find(allowed, key >> BITS)[1]]
-        key = key[find(allowed, key & ((1 << BITS * depth) - 1))[1]]
-    return key
+def bucket_of(context, symbol, buckets: int):
+    """The bucket of a string, for arrays and for columns alike."""
+    return ((context % 1_000_003) * 7919 + (symbol % 998_244_353) * 104_729) % buckets
+
+
+def find(context: np.ndarray, symbol: np.ndarray, contexts: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, whether it is there) of strings in a table sorted by context and symbol."""
+    if not len(contexts):
+        return np.zeros(len(context), np.int64), np.zeros(len(context), bool)
+    own, inverse = np.unique(contexts, return_inverse=True)
+    at = np.minimum(np.searchsorted(own, context), len(own) - 1)
+    key = inverse.astype(np.int64) << BITS | symbols
+    want = at << BITS | symbol
+    place = np.minimum(np.searchsorted(key, want), len(key) - 1)
+    return place, (own[at] == context) & (key[place] == want)
+
+
+class Coded:
+    """A block as tokens: for each symbol to score (words and ends) its number or -1, training count, document and what precedes it."""
+
+    def __init__(self, flags: list, lengths: np.ndarray, payload: bytes, n_docs: int) -> None:
+        p = unpack(payload)
+        seq = unplanes(p[:4]).astype(np.int64)
+        count = np.append(unplanes(p[4:8]).astype(np.int64) | unplanes(p[8:12]).astype(np.int64) << 32, (n_docs, 0))
+        number = np.append(unplanes(p[12:]).astype(np.int64) - 1, (END, START))
+        n = len(number) - 2
+        ends = np.cumsum(lengths)
+        tokens = np.insert(seq, ends, n)  # each text as start, words, end
+        starts = np.concatenate(([0], (ends + np.arange(1, len(ends) + 1))[:-1])) if len(ends) else ends
+        tokens = np.insert(tokens, starts, n + 1)
+        self.doc = np.repeat(np.arange(len(lengths)), lengths + 1)
+        real = tokens != n + 1
+        symbol = number[tokens]
+        place = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths + 2) - (lengths + 2), lengths + 2)
+        self.symbol, self.count = symbol[real], count[tokens[real]]
+        self.before = [np.where(place >= k, np.roll(symbol, k), -1)[real] for k in (1, 2)]
+        self.counted = np.repeat(np.array([bool(f) for f in flags], bool), lengths + 1)
+
+
+class Strings:
+    """Distinct (context, symbol) of a block in the order bucket, context, symbol, with their training counts."""
+
+    def __init__(self, context: np.ndarray, symbol: np.ndarray, counted: np.ndarray) -> None:
+        own, inverse = np.unique(context, return_inverse=True)
+        some = own >= 0
+        ok = (context >= 0) & (symbol >= 0)
+        key, place = np.unique(inverse[ok].astype(np.int64) << BITS | symbol[ok], return_inverse=True)
+        n = np.bincount(place, weights=counted[ok], minlength=len(key)).astype(np.int64)
+        self.context = np.concatenate([own[key >> BITS], own[some]])
+        self.symbol = np.concatenate([key & ANY, np.full(int(some.sum()), ANY)])
+        self.n = np.append(n, np.zeros(int(some.sum()), np.int64))
+        self.of_string, self.of_context = np.full(len(context), -1), np.full(len(context), -1)  # of each token, into the arrays above
+        self.of_string[ok] = place
+        self.of_context[context >= 0] = len(key) + (np.cumsum(some) - 1)[inverse[context >= 0]]
+
+    def dealt(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """(order, where each bucket begins in it)."""
+        bucket = bucket_of(self.context, self.symbol, buckets)
+        order = np.lexsort((self.symbol, self.context, bucket))
+        return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+    def rows(self, block: int, buckets: int) -> pa.RecordBatch:
+        order, cuts = self.dealt(buckets)
+        rows = []
+        for j in np.flatnonzero(np.diff(cuts)).tolist():
+            at = order[cuts[j] : cuts[j + 1]]
+            rows.append((block, j, len(at), pack(*wide(np.diff(self.context[at], prepend=0)), *planes(self.symbol[at]), *planes(self.n[at]))))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 4, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["block", "bucket", "n", "payload"])
+
+    def answered(self, answers: list[dict] | None, buckets: int) -> np.ndarray:
+        """The buckets' values in the order of the arrays: a share, what a context passes on, -1 for a candidate of no retained context, else 0."""
+        order, cuts = self.dealt(buckets)
+        out = np.zeros(len(order))
+        got = 0
+        for a in answers or ():
+            at = order[cuts[a["bucket"]] : cuts[a["bucket"] + 1]]
+            out[at] = np.frombuffer(unpack(a["payload"])[0], np.float64)
+            got += len(at)
+        if got != len(order):
+            raise RuntimeError("a bucket's answer is missing")
+        return out
+
+
+def wide(x: np.ndarray) -> list[bytes]:
+    return [*planes(x & 0xFFFFFFFF), *planes(x >> 32 & 0xFFFFFFFF)]
+
+
+def unwide(p: list[bytes]) -> np.ndarray:
+    return unplanes(p[:4]).astype(np.int64) | unplanes(p[4:8]).astype(np.int64) << 32
+
+
+def strings_in(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    p = unpack(payload)
+    return np.cumsum(unwide(p[:8])), unplanes(p[8:12]).astype(np.int64), unplanes(p[12:]).astype(np.int64)
 
 
 class SuffixTreeLM:
-    def __init__(self, p_min: float = 4e-6, min_count: int = 4, depth: int = 2, gain: float = 3.0, max_tokens: int = 1_000_000) -> None:
-        if not 1 <= depth <= 2 or p_min < 2**-19:
-            raise ValueError("strings of frequent tokens must fit 60 bits")
-        self.p_min, self.min_count, self.depth, self.gain, self.max_tokens = p_min, min_count, depth, gain, max_tokens
+    def __init__(self, min_count: int = 4, depth: int = 2, gain: float = 3.0, discount: float = 0.5, max_tokens: int = 1_000_000) -> None:
+        if not 1 <= depth <= 2:
+            raise ValueError("contexts have one or two tokens")
+        self.min_count, self.depth, self.gain, self.discount, self.max_tokens = max(1, min_count), depth, gain, discount, max_tokens
 
     def totals(self, words: DataFrame) -> DataFrame:
         """A row per bucket: each of its distinct words once, with its training count, and sums of them. A written table."""
@@ -138,9 +151,10 @@ class SuffixTreeLM:
             bucket, total = None, {}
 
             def close():
-                c = np.fromiter(total.values(), np.int64, len(total))
+                order = sorted(total, key=lambda w: (-total[w], w))  # a word's place in it makes its number
+                c = np.fromiter(map(total.__getitem__, order), np.int64, len(order))
                 sums = (len(c), c.sum(), (c > 0).sum(), (c == 1).sum(), (c == 2).sum())
-                cols = [pa.array([bucket], pa.int32()), *(pa.array([int(x)], pa.int64()) for x in sums), pa.array([pack(*join_words(list(total)), c.tobytes())], pa.binary())]
+                cols = [pa.array([bucket], pa.int32()), *(pa.array([int(x)], pa.int64()) for x in sums), pa.array([pack(*join_words(order), c.tobytes())], pa.binary())]
                 return pa.RecordBatch.from_arrays(cols, ["bucket", *names, "payload"])
 
             for b in batches:
@@ -157,125 +171,250 @@ class SuffixTreeLM:
 
         return materialize(words.mapInArrow(frugal(run), "bucket int, " + "".join(f"{x} long, " for x in names) + "payload binary"), "totals")
 
-    def frequent(self, totals: DataFrame, least: int) -> tuple[dict[bytes, int], np.ndarray]:
-        """The words with at least `least` training tokens, at most tokens / least of them, numbered; and their counts."""
+    def numbers(self, totals: DataFrame, buckets: int) -> DataFrame:
+        """(w, c): number and training count of each word of at least min_count."""
+        least = self.min_count
 
         def run(batches):
             for b in batches:
-                for payload in b.column(0):
-                    lengths, blob, count = unpack(payload.as_py())
-                    count = np.frombuffer(count, np.int64)
-                    at = np.flatnonzero(count >= least)
-                    words = split_words(lengths, blob)
-                    yield pa.RecordBatch.from_arrays([pa.array([words[i] for i in at.tolist()], pa.binary()), pa.array(count[at])], ["w", "c"])
-
-        got = totals.select("payload").mapInArrow(frugal(run), "w binary, c long").toArrow()
-        order = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist()))
-        return {w: FIRST + i for i, (w, _) in enumerate(order)}, np.array([0] * FIRST + [c for _, c in order], np.int64)
+                for bucket, payload in zip(b.column(0).to_pylist(), b.column(1)):
+                    count = np.frombuffer(unpack(payload.as_py())[2], np.int64)
+                    count = count[count >= least]
+                    yield pa.RecordBatch.from_arrays([pa.array(FIRST + np.arange(len(count)) * buckets + bucket), pa.array(count)], ["w", "c"])
 
-    def strings(self, rows: DataFrame, numbers: dict[bytes, int], depth: int, allowed: np.ndarray | None, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """Strings of depth + 1 tokens with at least `least` occurrences in training texts, at most tokens / least of them, and counts."""
+        return totals.select("bucket", "payload").mapInArrow(frugal(run), "w long, c long")
 
-        def run(batches):
-            def close(parts):
-                keys, n = np.unique(strings_of(np.concatenate(parts), depth, allowed), return_counts=True)
-                return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["k", "n"])
-
-            parts, size = [], 0
-            for b in batches:
-                for text in b.column(0).cast(pa.binary()):
-                    words = tokenize(text.as_py() or b"")
-                    parts.append(np.fromiter(map(numbers.get, words, [-1] * len(words)), np.int64, len(words)))
-                    parts.append(np.array([END, START]))
-                    size += len(words)
-                    if size > 4_000_000:
-                        yield close([np.array([START]), *parts])
-                        parts, size = [], 0
-            if parts:
-                yield close([np.array([START]), *parts])
-
-        got = rows.filter("flag").select("text").mapInArrow(frugal(run), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
-        keys, n = got.column(0).to_numpy(), got.column(1).to_numpy()
-        order = np.argsort(keys)
-        return keys[order], n[order]
-
-    def answers(self, words: DataFrame, totals: DataFrame, numbers: dict[bytes, int], parts: int) -> DataFrame:
-        """A row per block and bucket: of each of its words the training count, and its number if it is frequent."""
+    def answers(self, words: DataFrame, totals: DataFrame, buckets: int, parts: int) -> DataFrame:
+        """A row per block and bucket: of each of its words the training count, and its number if it has min_count."""
         scored = totals.select("bucket", F.lit(-1).cast("long").alias("block"), F.col("n").cast("int").alias("n"), F.lit(0).cast("long").alias("mark"), "payload")
         both = scored.unionByName(words).repartition(parts, "bucket").sortWithinPartitions("bucket", "block")
+        least = self.min_count
 
         def run(batches):
-            known: dict[bytes, int] = {}
+            place: dict[bytes, int] = {}
+            total = np.zeros(0, np.int64)
             for b in batches:
                 out = []
                 for block, bucket, n, mark, payload in zip(*(b.column(c).to_pylist() for c in ("block", "bucket", "n", "mark")), b.column("payload")):
                     lengths, blob, count = unpack(payload.as_py())
                     own = split_words(lengths, blob)
                     if block < 0:
-                        known = dict(zip(own, np.frombuffer(count, np.int64).tolist()))
+                        place, total = dict(zip(own, range(len(own)))), np.frombuffer(count, np.int64)
+                        if FIRST + len(own) * buckets >= ANY:
+                            raise ValueError("too many distinct words for their numbers")
                     else:
-                        c = np.fromiter(map(known.__getitem__, own), np.int64, len(own))
-                        number = np.fromiter(map(numbers.get, own, [-1] * len(own)), np.int64, len(own)) + 1
-                        out.append((block, bucket, n, mark, pack(*planes(c & 0xFFFFFFFF), *planes(c >> 32), *planes(number))))
+                        at = np.fromiter(map(place.__getitem__, own), np.int64, len(own))
+                        c = total[at]
+                        number = np.where(c >= least, FIRST + at * buckets + bucket, -1)
+                        out.append((block, bucket, n, mark, pack(*wide(c), *planes(number + 1))))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["block", "bucket", "n", "mark", "payload"])
 
         return both.mapInArrow(frugal(run), "block long, bucket int, n int, mark long, payload binary")
 
+    def code(self, table: BlockTable, answers: DataFrame, parts: int) -> DataFrame:
+        """The blocks with numbers and counts of their words: a table bucketed by block, so that later answers move and it doesn't."""
+
+        def finish(number, ids, flags, lengths, seq, per):
+            n = sum(len(at) for at, _ in per)
+            count, numbers = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            for at, payload in per:
+                p = unpack(payload)
+                count[at], numbers[at] = unwide(p[:8]), unplanes(p[8:])
+            row = ((number, pa.int64()), (ids, pa.list_(pa.int64())), (flags, pa.list_(pa.bool_())), (lengths.tolist(), pa.list_(pa.int32())), (pack(*planes(seq), *wide(count), *planes(numbers)), pa.binary()))
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in row], ["block", "ids", "flags", "lengths", "payload"])
+
+        schema = "block long, ids array<long>, flags array<boolean>, lengths array<int>, payload binary"
+        return bucketed(table.assemble(answers, finish, schema, parts, numbered=True), "blocks", parts, "block")
+
+    def sent(self, blocks: DataFrame, n_docs: int, buckets: int) -> DataFrame:
+        """The strings of the next depth that blocks send: of two tokens, or, where blocks have the answers to those (a1), of three."""
+        deep = "a1" in blocks.columns
+
+        def run(batches):
+            for b in batches:
+                for k in range(b.num_rows):
+                    row = {c: b.column(c)[k].as_py() for c in b.schema.names}
+                    x = Coded(row["flags"], np.array(row["lengths"], np.int64), row["payload"], n_docs)
+                    first = Strings(x.before[0], x.symbol, x.counted)
+                    if not deep:
+                        yield first.rows(row["block"], buckets)
+                        continue
+                    yield deeper(x, first, first.answered(row["a1"], buckets)).rows(row["block"], buckets)
+
+        return blocks.drop("ids").mapInArrow(frugal(run), STRINGS)
+
+    def candidates(self, sent: DataFrame, parts: int) -> DataFrame:
+        """(context, symbol, n) of strings with at least min_count occurrences. A written table."""
+        least = self.min_count
+
+        def run(batches):
+            held: list = []
+            bucket = None
+
+            def close():
+                context, symbol, n = (np.concatenate(x) for x in zip(*held))
+                order = np.lexsort((symbol, context))
+                context, symbol, n = context[order], symbol[order], n[order]
+                head = np.flatnonzero((np.diff(context, prepend=-1) != 0) | (np.diff(symbol, prepend=-1) != 0))
+                n = np.add.reduceat(n, head) if len(head) else n
+                keep = n >= least
+                return pa.RecordBatch.from_arrays([pa.array(context[head][keep]), pa.array(symbol[head][keep]), pa.array(n[keep])], ["context", "symbol", "n"])
+
+            for b in batches:
+                for k, payload in zip(b.column("bucket").to_pylist(), b.column("payload")):
+                    if k != bucket and held:
+                        yield close()
+                        held = []
+                    bucket = k
+                    context, symbol, n = strings_in(payload.as_py())
+                    held.append((context[n > 0], symbol[n > 0], n[n > 0]))
+            if held:
+                yield close()
+
+        return materialize(sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(frugal(run), "context long, symbol long, n long"), "candidates")
+
+    def tested(self, strings: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """strings(context, symbol, n, total, lower: the suffix's probability) -> the contexts (context, passed) that are retained, and their entries (context, symbol, share, p)."""
+        share = (F.col("n") - self.discount) / F.col("total")
+        won = F.col("n") * F.log(F.col("n") / F.col("total") / F.col("lower"))
+        sums = strings.groupBy("context").agg(F.sum(won).alias("won"), F.count("*").alias("size"), (1 - F.sum(share)).alias("passed"))
+        kept = materialize(sums.filter(F.col("won") >= self.gain * F.col("size")).select("context", "passed"), "contexts")
+        entries = strings.join(kept, "context").select("context", "symbol", share.alias("share"), (share + F.col("passed") * F.col("lower")).alias("p"))
+        return kept, materialize(entries, "entries")
+
+    def replies(self, sent: DataFrame, found: DataFrame, kept: DataFrame, entries: DataFrame, buckets: int, parts: int) -> DataFrame:
+        """(block, answers): the values of the strings that blocks sent, a list of (bucket, payload) for each block."""
+        values = found.select("context", "symbol").join(entries.select("context", "symbol", "share"), ["context", "symbol"], "left").select("context", "symbol", F.coalesce("share", F.lit(-1.0)).alias("v"))
+        values = values.unionByName(kept.select("context", F.lit(ANY).cast("long").alias("symbol"), F.col("passed").alias("v")))
+        values = values.withColumn("bucket", bucket_of(F.col("context"), F.col("symbol"), F.lit(buckets)).cast("int"))
+        values = values.repartition(parts, "bucket").sortWithinPartitions("bucket", "context", "symbol")
+
+        def whole(batches):
+            held, bucket = [], None
+
+            def close():
+                context, symbol, v = (np.concatenate(x) for x in zip(*held))
+                return pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([bucket], pa.int32()), pa.array([len(v)], pa.int32()), pa.array([pack(*wide(np.diff(context, prepend=0)), *planes(symbol), v.tobytes())], pa.binary())], ["block", "bucket", "n", "payload"])
+
+            for b in batches:
+                own, at = np.unique(b.column(3).to_numpy(), return_index=True)
+                for k, s, e in zip(own.tolist(), at.tolist(), [*at.tolist()[1:], b.num_rows]):
+                    if k != bucket and held:
+                        yield close()
+                        held = []
+                    bucket = k
+                    held.append(tuple(b.column(c).slice(s, e - s).to_numpy() for c in range(3)))
+            if held:
+                yield close()
+
+        tree = values.mapInArrow(frugal(whole), STRINGS)
+        both = tree.unionByName(sent).repartition(parts, "bucket").sortWithinPartitions("bucket", "block")
+
+        def run(batches):
+            none = np.zeros(0, np.int64)
+            bucket, known = None, (none, none, np.zeros(0))
+            for b in batches:
+                out = []
+                for block, k, payload in zip(b.column("block").to_pylist(), b.column("bucket").to_pylist(), b.column("payload")):
+                    if block < 0:
+                        p = unpack(payload.as_py())
+                        bucket, known = k, (np.cumsum(unwide(p[:8])), unplanes(p[8:12]).astype(np.int64), np.frombuffer(p[12], np.float64))
+                        continue
+                    context, symbol, _ = strings_in(payload.as_py())
+                    v = np.zeros(len(context))
+                    if k == bucket:
+                        at, hit = find(context, symbol, *known[:2])
+                        v[hit] = known[2][at[hit]]
+                    out.append((block, k, pack(v.tobytes())))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary()))], ["block", "bucket", "payload"])
+
+        got = both.mapInArrow(frugal(run), "block long, bucket int, payload binary")
+        return got.repartition(parts, "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "payload")).alias("answers"))
+
     def __call__(self, docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(id, train, n_tokens, n_known, train_tokens, base_score, score), a row for each row of docs; learns where train is true."""
-        parts = width(docs.sparkSession)
+        spark = docs.sparkSession
+        parts = width(spark)
+        buckets = 4 * parts
         rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(train, F.lit(False)).alias("flag"), F.col(text_col).cast("string").alias("text"))
         n_docs = rows.filter("flag").count()
-        table = BlockTable(rows, tokenize, self.max_tokens, 4 * parts)
+        table = BlockTable(rows, tokenize, self.max_tokens, buckets)
         words = materialize(table.words(True), "words")
         totals = self.totals(words.repartition(parts, "bucket").sortWithinPartitions("bucket"))
         tokens, distinct, once, twice = (x or 0 for x in totals.agg(*(F.sum(c) for c in ("tokens", "known", "once", "twice"))).first())
         tokens, distinct = tokens + n_docs, distinct + (n_docs > 0)
         off = min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.5
-        least = max(self.min_count, int(np.ceil(self.p_min * tokens)))
-
-        def root(c: np.ndarray) -> np.ndarray:
-            return np.where(c > 0, c - off, off * distinct) / tokens if tokens else np.ones(len(c))
-
-        numbers, single = self.frequent(totals, least)
-        single[START] = n_docs
-        levels, allowed = [], None
-        for d in range(1, self.depth + 1):
-            levels.append(self.strings(table.docs, numbers, d, allowed, least))
-            allowed = levels[-1][0]
-            if not len(allowed):
-                break
-        tree = grow(levels, single, root(np.concatenate(([n_docs], single[1:]))), self.gain)
-        room = tokens + distinct + 1
+        coded = self.code(table, self.answers(words, totals, buckets, parts), parts)
+
+        # The level of two tokens.
+        ends = spark.range(1).select(F.explode(F.array(F.lit(END).cast("long"), F.lit(START).cast("long"))).alias("w"), F.lit(n_docs).cast("long").alias("c"))
+        counts = materialize(self.numbers(totals, buckets).unionByName(ends), "counts")
+        sent = self.sent(coded, n_docs, buckets)
+        found = self.candidates(sent, parts)
+        strings = found.join(counts.select(F.col("w").alias("symbol"), ((F.col("c") - off) / max(1, tokens)).alias("lower")), "symbol").join(counts.select(F.col("w").alias("context"), F.col("c").alias("total")), "context")
+        strings = materialize(strings.select("context", "symbol", "n", "total", "lower"), "strings")
+        kept, entries = self.tested(strings)
+        blocks = self.joined(coded, self.replies(sent, found, kept, entries, buckets, parts), "a1")
         depth = self.depth
+        if depth == 2:  # of three: the context is two numbers, its suffix the later one
+            blocks = bucketed(blocks, "blocks", parts, "block")
+            sent = self.sent(blocks, n_docs, buckets)
+            triples = self.candidates(sent, parts)
+            b = F.col("context").bitwiseAND(F.lit(ANY).cast("long"))
+            strings = triples.withColumns({"a": F.shiftright("context", BITS), "b": b})
+            strings = strings.join(entries.select(F.col("context").alias("b"), "symbol", F.col("p").alias("lower")), ["b", "symbol"])
+            strings = strings.join(found.select(F.col("context").alias("a"), F.col("symbol").alias("b"), F.col("n").alias("total")), ["a", "b"])
+            strings = materialize(strings.select("context", "symbol", "n", "total", "lower"), "strings")
+            kept, entries = self.tested(strings)
+            blocks = self.joined(blocks, self.replies(sent, triples, kept, entries, buckets, parts), "a2")
+        return self.score(blocks, n_docs, tokens, distinct, off, buckets)
+
+    def joined(self, blocks: DataFrame, replies: DataFrame, name: str) -> DataFrame:
+        replies = replies.select(F.col("block").alias("of"), F.col("answers").alias(name))
+        return blocks.hint("merge").join(replies.hint("merge"), blocks["block"] == replies["of"], "left").drop("of")
+
+    def score(self, blocks: DataFrame, n_docs: int, tokens: int, distinct: int, off: float, buckets: int) -> DataFrame:
+        room, depth = tokens + distinct + 1, self.depth
 
-        def finish(ids, flags, lengths, seq, per):
-            n = sum(len(at) for at, _ in per)
-            count, number = np.zeros(n + 2, np.int64), np.full(n + 2, -1)
-            count[n], number[n], number[n + 1] = n_docs, END, START
-            for at, payload in per:
-                p = unpack(payload)
-                count[at] = unplanes(p[:4]).astype(np.int64) | unplanes(p[4:8]).astype(np.int64) << 32
-                number[at] = unplanes(p[8:]).astype(np.int64) - 1
-            # Each text as start, words, end.
-            ends = np.cumsum(lengths)
-            all_ = np.insert(seq.astype(np.int64), np.repeat(ends, 1), n)
-            starts = np.concatenate(([0], (ends + np.arange(1, len(ends) + 1))[:-1])) if len(ends) else ends
-            all_ = np.insert(all_, starts, n + 1)
-            doc = np.repeat(np.arange(len(lengths)), lengths + 2)
-            real = all_ != n + 1
-            symbol = number[all_]
-            place = np.arange(len(all_)) - np.repeat(np.cumsum(lengths + 2) - (lengths + 2), lengths + 2)
-            before = [np.where(place >= k, np.roll(symbol, k), -1)[real] for k in range(1, depth + 1)]
-            doc, c = doc[real], count[all_[real]]
-            score = np.log10(tree.probabilities(before, symbol[real], root(c)))
-            total = lambda x: np.bincount(doc, x, minlength=len(lengths))
-            cols = [pa.array(ids, pa.int64()), pa.array(flags, pa.bool_()), pa.array(lengths + 1), pa.array(total(c > 0).astype(np.int64)), pa.array(np.full(len(lengths), tokens, np.int64)), pa.array(total(np.log10((c + 1) / room))), pa.array(total(score))]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-        schema = "id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-        return table.assemble(self.answers(words, totals, numbers, parts), finish, schema, parts)
+        def run(batches):
+            for b in batches:
+                for k in range(b.num_rows):
+                    row = {c: b.column(c)[k].as_py() for c in b.schema.names}
+                    lengths = np.array(row["lengths"], np.int64)
+                    x = Coded(row["flags"], lengths, row["payload"], n_docs)
+                    p = np.where(x.count > 0, x.count - off, off * distinct) / tokens if tokens else np.ones(len(x.count))
+                    first = Strings(x.before[0], x.symbol, x.counted)
+                    v = first.answered(row["a1"], buckets)
+                    p = descended(p, first, v)
+                    if depth == 2:
+                        second = deeper(x, first, v)
+                        p = descended(p, second, second.answered(row["a2"], buckets))
+                    total = lambda y: np.bincount(x.doc, y, minlength=len(lengths))
+                    cols = [pa.array(row["ids"], pa.int64()), pa.array(row["flags"], pa.bool_()), pa.array(lengths + 1), pa.array(total(x.count > 0).astype(np.int64)), pa.array(np.full(len(lengths), tokens, np.int64)), pa.array(total(np.log10((x.count + 1) / room))), pa.array(total(np.log10(p)))]
+                    yield pa.RecordBatch.from_arrays(cols, ["id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+        return blocks.mapInArrow(frugal(run), "id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def valued(at: np.ndarray, values: np.ndarray) -> np.ndarray:
+    return np.where(at >= 0, np.append(values, 0.0)[at], 0.0)
+
+
+def descended(p: np.ndarray, strings: Strings, values: np.ndarray) -> np.ndarray:
+    """P in the deeper context where it is retained: what it passes on, and its own share of the symbol."""
+    passed = valued(strings.of_context, values)
+    return np.where(passed > 0, passed * p + np.maximum(0.0, valued(strings.of_string, values)), p)
+
+
+def deeper(x: Coded, first: Strings, values: np.ndarray) -> Strings:
+    """The strings of three tokens whose parts are candidates: the context, -1 unless it is one and its suffix is retained, and the symbols that the suffix lists."""
+    a, b = x.before[1], x.before[0]
+    ok = (a >= 0) & (b >= 0) & (valued(first.of_context, values) > 0)
+    before = np.where(np.diff(x.doc, prepend=-1) == 0, np.roll(first.of_string, 1), -1)  # the string (a, b)
+    ok &= valued(before, values) != 0
+    return Strings(np.where(ok, a << BITS | b, -1), np.where(valued(first.of_string, values) > 0, x.symbol, -1), x.counted)
 
 
 def op9_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,14 @@
 
 The content view is what the text is made of: the shares of its byte values, of distinct, repeated, short and capital words. The metadata
 view is what is known about the page and its layout: source and language (hashed), size, number, length and repetition of lines.
-Both start from a bounded labelled sample. In each round either classifier marks the texts of a bounded unlabelled pool it is surest of,
-in the proportion of the labels, and hands them to the other as pseudo-labels. Labelled rows that neither was fitted on then calibrate
-the two views and weigh them into one score. All documents are scored, each in the task that reads it; nothing is shuffled.
+Both start from a bounded labelled sample. In each round either classifier scores every row without a label and hands the `batch` rows it
+is surest of, in the proportion of the labels, to the other as pseudo-labels: a distributed top-k over the whole table. Labelled rows that
+neither was fitted on then calibrate the two views and weigh them into one score. All documents are scored, each in the task that reads it;
+only keys and the two views' probabilities are shuffled.
 
 Defined results. A null or empty text has empty content and layout. Null sources and languages are values of their own. Without both
-labels in the sample every score is the share of good labels (0.5 without labels). Every row gives one row.
+labels in the sample every score is the share of good labels (0.5 without labels). A labelled id that repeats counts with each of its rows,
+equal rows once. Every row gives one row, also for repeated or null ids; further columns are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import crc_mod, frugal
+from tessera.llm.common import crc_mod, frugal, materialize
 from tessera.llm.toxicity import logistic
 
 SOURCE_SLOTS, LANG_SLOTS = 32, 16
@@ -50,6 +52,12 @@ def metadata(text: bytes, source: str | None, lang: str | None) -> np.ndarray:
     return x
 
 
+def both_views(text: pa.Array, source: pa.Array, lang: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    texts = [t.as_py() or b"" for t in text.cast(pa.binary())]
+    meta = [metadata(t, s, g) for t, s, g in zip(texts, source.to_pylist(), lang.to_pylist())]
+    return np.array([content(t) for t in texts]).reshape(len(texts), CONTENT), np.array(meta).reshape(len(texts), META)
+
+
 @dataclass
 class View:
     mean: np.ndarray
@@ -77,66 +85,96 @@ class QualityModel:
         return 1 / (1 + np.exp(-(z + self.bias)))
 
 
-def cotrain(a: np.ndarray, b: np.ndarray, y: np.ndarray, pool_a: np.ndarray, pool_b: np.ndarray, share: float, rounds: int, batch: int, sure: float, ridge: float) -> QualityModel:
-    """a, b: the views of the labelled rows y; every fourth row calibrates. share: of good labels among all, which the sample needn't keep."""
-    held = np.arange(len(y)) % 4 == 3
-    if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
-        return QualityModel(None, np.zeros(2), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
-    sets = [(a[~held], y[~held]), (b[~held], y[~held])]
-    views = [View.fit(*s, ridge) for s in sets]
-    free = np.ones(len(pool_a), bool)
-    pools = (pool_a, pool_b)
-    for _ in range(rounds):
-        for k in (0, 1):
-            p = 1 / (1 + np.exp(-views[k].margin(pools[k])))
-            for label, conf, quota in ((1, p, share), (0, 1 - p, 1 - share)):
-                at = np.flatnonzero(free & (conf >= sure))
-                at = at[np.argsort(-conf[at], kind="stable")][: max(1, int(batch * quota))]
-                x, t = sets[1 - k]
-                sets[1 - k] = np.concatenate([x, pools[1 - k][at]]), np.append(t, np.full(len(at), label))
-                free[at] = False
-        views = [View.fit(*s, ridge) for s in sets]
-    z = np.column_stack([views[0].margin(a[held]), views[1].margin(b[held])])
-    w, bias = logistic(z, y[held])
-    good = y[held].mean()
-    bias += np.log(share / (1 - share)) - np.log(good / (1 - good))
-    return QualityModel((views[0], views[1]), w, float(bias))
-
-
 class QualityClassifier:
-    def __init__(self, per_label: int = 2500, pool: int = 6000, rounds: int = 4, batch: int = 400, sure: float = 0.95, ridge: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> None:
-        self.per_label, self.pool, self.rounds, self.batch, self.sure, self.ridge = per_label, pool, rounds, batch, sure, ridge
+    def __init__(self, per_label: int = 2500, rounds: int = 3, batch: int = 400, sure: float = 0.95, ridge: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> None:
+        self.per_label, self.rounds, self.batch, self.sure, self.ridge = per_label, rounds, batch, sure, ridge
         self.id, self.cols = id_col, (text_col, source_col, lang_col)
 
     def rows(self, docs: DataFrame) -> DataFrame:
         names = ("text", "source", "lang")
-        return docs.select(F.col(self.id).alias("id"), *(F.col(c).cast("string").alias(n) for c, n in zip(self.cols, names)))
+        rows = docs.select(F.col(self.id).alias("id"), *(F.col(c).cast("string").alias(n) for c, n in zip(self.cols, names)))
+        return rows.select("id", F.xxhash64("text", "source", "lang").alias("th"), *names)
 
-    def learn(self, docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "quality") -> QualityModel:
-        """From bounded samples: per_label rows of each label and `pool` rows without one, those with the smallest hash of their id."""
-        marked = labels.filter(train).select(F.col(self.id).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y in (0, 1)").distinct()
-        counts = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
-        share = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
-        first = lambda df, n: df.orderBy(F.xxhash64("id"), "id").limit(n)
-        free = docs.select(F.col(self.id).alias("id")).filter(F.col("id").isNotNull()).join(labels.select(F.col(self.id).alias("id")), "id", "left_anti")
-        picked = first(free.distinct(), self.pool).withColumn("y", F.lit(-1))
-        for y in counts:
-            picked = picked.unionByName(first(marked.filter(F.col("y") == y), self.per_label))
+    def views(self, docs: DataFrame, picked: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(y, content, metadata) of the rows whose (id, th) is in picked(y, id, th), a bounded table; rows with one key count once."""
 
         def run(batches):
             for b in batches:
-                text, source, lang = b.column(2).cast(pa.binary()).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()
-                got = [np.concatenate([content(t or b""), metadata(t or b"", s, g)]) for t, s, g in zip(text, source, lang)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g.tolist() for g in got], pa.list_(pa.float32()))], ["id", "y", "x"])
+                x = np.concatenate(both_views(*(b.column(k) for k in (3, 4, 5))), axis=1).astype(np.float32)
+                lists = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), CONTENT + META).cast(pa.list_(pa.float32()))
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], lists], ["y", "id", "th", "x"])
 
         kind = docs.schema[self.id].dataType.simpleString()
-        got = self.rows(docs).join(F.broadcast(picked), "id").select("id", "y", "text", "source", "lang").mapInArrow(frugal(run), f"id {kind}, y int, x array<float>").toArrow()
-        order = np.argsort([zlib.crc32(repr(i).encode()) for i in got.column(0).to_pylist()], kind="stable")
-        y = got.column(1).to_numpy()[order]
-        x = np.array([v.values.to_numpy() for v in got.column(2)], float).reshape(len(y), CONTENT + META)[order]
-        known = y >= 0
-        a, b = x[:, :CONTENT], x[:, CONTENT:]
-        return cotrain(a[known], b[known], y[known].astype(float), a[~known], b[~known], share, self.rounds, self.batch, self.sure, self.ridge)
+        rows = self.rows(docs).join(F.broadcast(picked), ["id", "th"]).dropDuplicates(["y", "id", "th"]).select("y", "id", "th", "text", "source", "lang")
+        got = rows.mapInArrow(frugal(run), f"y int, id {kind}, th long, x array<float>").toArrow()
+        order = np.argsort([zlib.crc32(repr(k).encode()) for k in zip(*(got.column(c).to_pylist() for c in range(3)))], kind="stable")
+        x = np.array([v.values.to_numpy() for v in got.column(3)], float).reshape(got.num_rows, CONTENT + META)[order]
+        return got.column(0).to_numpy()[order], x[:, :CONTENT], x[:, CONTENT:]
+
+    def surest(self, docs: DataFrame, known: DataFrame, views: list[View], taken: set) -> list[list[tuple]]:
+        """For each view and label (1, 0) the keys (id, th) of rows without a label that the view is surest of; any row can be one.
+
+        known(id): the ids with a label. taken: keys of earlier rounds. Each list holds up to two batches, so that the caller can
+        leave out what another list has.
+        """
+
+        def run(batches):
+            for batch in batches:
+                for b in (batch.slice(s, 512) for s in range(0, batch.num_rows, 512)):
+                    p = [1 / (1 + np.exp(-v.margin(x))) for v, x in zip(views, both_views(*(b.column(k) for k in (2, 3, 4))))]
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, p)], ["id", "th", "p0", "p1"])
+
+        spark, kind = docs.sparkSession, docs.schema[self.id].dataType.simpleString()
+        sure = " or ".join(f"p{k} >= {self.sure} or p{k} <= {1 - self.sure}" for k in (0, 1))
+        scored = self.rows(docs).filter("id is not null").mapInArrow(frugal(run), f"id {kind}, th long, p0 double, p1 double").filter(sure).distinct()
+        scored = materialize(scored.join(known, "id", "left_anti"), "scored")
+        if taken:
+            old = spark.createDataFrame(sorted(taken, key=repr), f"id {kind}, th long")
+            scored = scored.join(F.broadcast(old), ["id", "th"], "left_anti")
+        out = []
+        for k in (0, 1):
+            for order, ok in ((F.col(f"p{k}").desc(), F.col(f"p{k}") >= self.sure), (F.col(f"p{k}").asc(), F.col(f"p{k}") <= 1 - self.sure)):
+                out.append([tuple(r) for r in scored.filter(ok).orderBy(order, F.xxhash64("id", "th"), "id", "th").limit(2 * self.batch).select("id", "th").collect()])
+        return out
+
+    def learn(self, docs: DataFrame, labels: DataFrame, train: Column, label_col: str = "quality") -> QualityModel:
+        """From a bounded sample of labelled rows (per_label of each label, smallest hash) and from all rows without a label."""
+        spark, kind = docs.sparkSession, docs.schema[self.id].dataType.simpleString()
+        marked = labels.filter(train).select(F.col(self.id).alias("id"), F.col(label_col).cast("int").alias("y")).filter("id is not null and y in (0, 1)").distinct()
+        counts = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
+        share = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
+        flat = QualityModel(None, np.zeros(2), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
+        keys = self.rows(docs).select("id", "th").join(marked, "id").select("y", "id", "th").distinct()
+        picked = None
+        for y in (0, 1):
+            part = keys.filter(F.col("y") == y).orderBy(F.xxhash64("id", "th"), "id", "th").limit(self.per_label)
+            picked = part if picked is None else picked.unionAll(part)
+        y, a, b = self.views(docs, picked)
+        held = np.arange(len(y)) % 4 == 3  # every fourth row calibrates
+        if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
+            return flat
+        sets = [(a[~held], y[~held].astype(float)), (b[~held], y[~held].astype(float))]
+        views = [View.fit(*s, self.ridge) for s in sets]
+        known, taken = labels.select(F.col(self.id).alias("id")).filter("id is not null").distinct(), set()
+        quotas = [max(1, int(self.batch * q)) for q in (share, 1 - share)] * 2
+        for _ in range(self.rounds):
+            chosen, new = [], set()
+            for n, (found, quota) in enumerate(zip(self.surest(docs, known, views, taken), quotas)):
+                own = [key for key in found if key not in new][:quota]
+                new.update(own)
+                chosen += [(n, *key) for key in own]
+            if not chosen:
+                break
+            taken |= new
+            n, xa, xb = self.views(docs, spark.createDataFrame(chosen, f"y int, id {kind}, th long"))
+            for k, x in ((0, xb), (1, xa)):  # a view's choices teach the other one
+                at = n // 2 == k
+                sets[1 - k] = np.concatenate([sets[1 - k][0], x[at]]), np.append(sets[1 - k][1], 1.0 - n[at] % 2)
+            views = [View.fit(*s, self.ridge) for s in sets]
+        w, bias = logistic(np.column_stack([views[0].margin(a[held]), views[1].margin(b[held])]), y[held].astype(float))
+        good = y[held].mean()
+        bias += np.log(share / (1 - share)) - np.log(good / (1 - good))
+        return QualityModel((views[0], views[1]), w, float(bias))
 
     def score(self, docs: DataFrame, model: QualityModel) -> DataFrame:
         """(id, score) of every row."""
@@ -144,9 +182,7 @@ class QualityClassifier:
         def run(batches):
             for batch in batches:
                 for b in (batch.slice(s, 512) for s in range(0, batch.num_rows, 512)):
-                    text, source, lang = b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()
-                    views = np.array([content(t or b"") for t in text]), np.array([metadata(t or b"", s, g) for t, s, g in zip(text, source, lang)])
-                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(*views))], ["id", "score"])
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(*both_views(*(b.column(k) for k in (2, 3, 4)))))], ["id", "score"])
 
         return self.rows(docs).mapInArrow(frugal(run), f"id {docs.schema[self.id].dataType.simpleString()}, score double")
 

@@ -215,8 +215,9 @@ class EmbeddingDedup:
         bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
         ok = F.col("id").isNotNull() & F.col("vec").isNotNull() & ~F.exists("vec", bad) & F.exists("vec", lambda x: x != 0)
         h1, h2 = key128(F.col("vec"))
-        rows = rows.withColumn("ok", F.coalesce(ok, F.lit(False))).withColumns({"h1": F.when(F.col("ok"), h1), "h2": F.when(F.col("ok"), h2)})
-        classes = rows.filter("ok").groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("cnt"), F.first("vec").alias("vec"))
+        rows = rows.withColumn("ok", F.coalesce(ok, F.lit(False)))
+        usable = rows.filter("ok").withColumns({"h1": h1, "h2": h2})
+        classes = usable.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("cnt"), F.first("vec").alias("vec"))
         classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")  # rep: a number, as ids may repeat
         k, tables = self.plan(classes.count())
         signed = self.signatures(classes, k, tables)
@@ -246,7 +247,9 @@ class EmbeddingDedup:
         named = materialize(named.select("h1", "h2", "id", (F.coalesce("links", F.lit(0)) + F.col("cnt") - 1).alias("n_links"), F.coalesce("component", "rep").alias("g")), "named")
         least = named.groupBy("g").agg(F.min("id").alias("component"))
         named = materialize(named.join(least, "g").select("h1", "h2", "n_links", "component"), "least")
-        out = rows.join(named, ["h1", "h2"], "left")
+        out = usable.join(named, ["h1", "h2"], "left").select("id", "n_links", "component")
+        # The others stay off the join, where they would meet in one task.
+        out = out.unionByName(rows.filter("not ok").select("id", F.lit(None).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component")))
         component = F.coalesce("component", "id")
         return out.select("id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.when(F.col("id").isNotNull(), component).alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
 

@@ -1,12 +1,13 @@
 """Benchmark decontamination by a distributed positional inverted index.
 
-Documents are cut into segments; each is stored as one row of postings (term -> sorted word positions) over the words that the test
-items use. A test window is looked up by intersecting the offset-adjusted posting lists of its terms, rarest in the segment first, so
-most windows end at an empty or one-entry list. With slop 0 that gives the exact phrases; with slop s, places where every term
-lies within s positions of where the phrase wants it. No document text is shuffled and no list is ever gathered over segments.
+Documents are cut into segments; each is stored as one row: its words and, word by word, their sorted positions. The index holds all words of
+the documents, so it is built once and serves any test items. A test window is looked up by intersecting the offset-adjusted posting lists
+of its terms, rarest in the segment first, so most windows end at an empty or one-entry list. With slop 0 that gives the exact phrases;
+with slop s, places where every term lies within s positions of where the phrase wants it. No document text is shuffled and no list is
+ever gathered over segments.
 
-Test items are a stated query set. They are handled in blocks of at most max_block_words words: only one block's vocabulary and
-windows are held and sent to the executors, whatever the number of items; the blocks' spans are then merged by row.
+Test items are a stated query set. They are handled in blocks of at most max_block_words words (an item is never cut): only one block's
+vocabulary and windows are held and sent to the executors, whatever the number of items; the blocks' spans are then merged by row.
 
 Defined results. Null or empty texts have no words, no hits and are not contaminated. Null items and items without words have no
 window; an item of fewer than `window` words is one window; rows that repeat an item_id are one item; rows with a null item_id are
@@ -23,12 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import frugal, is_plain_scan, materialize
+from tessera.llm.blocks import pack, planes, unpack, unplanes
+from tessera.llm.common import frugal, materialize
 
 #: Words are runs of digits, letters a-z (after lower-casing A-Z) and every byte of a non-ASCII character.
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
-SEGMENT = "seg long, ids array<long>, hashes array<long>, n_words array<int>, terms array<int>, ends array<int>, places array<long>"
+SEGMENT = "seg long, ids array<long>, hashes array<long>, n_words array<int>, postings binary"
 FOUND = "seg long, row int, id long, th long, n_words long, starts array<int>, stops array<int>, items array<string>"
 
 
@@ -62,17 +64,11 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, max_words: int) ->
         yield block
 
 
-def search_segment(terms, ends, places, bounds, windows: dict, length: int, slop: int) -> list[tuple[tuple[int, ...], np.ndarray]]:
-    """(window, its start places) for every window that occurs. places: sorted per term; bounds: the place where each row begins."""
-    begin = np.zeros(length + 1, np.int64)
-    count = np.zeros(length + 1, np.int64)
-    ends = ends.astype(np.int64)
-    starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
-    begin[terms], count[terms] = starts, ends - starts
+def search_segment(begin, count, places, bounds, windows: list, grid: np.ndarray, slop: int) -> list[tuple[tuple[int, ...], np.ndarray]]:
+    """(window, its start places) for every window that occurs. begin, count: of each term in places; bounds: the place where each row begins."""
     out = []
-    for w, alive in zip(windows["list"], windows["alive"](count)):
-        if not alive:
-            continue
+    for at_window in np.flatnonzero((count[grid] > 0).all(axis=1)).tolist():
+        w = windows[at_window]
         order = sorted(range(len(w)), key=lambda k: count[w[k]])
         k = order[0]
         c = places[begin[w[k]] : begin[w[k]] + count[w[k]]] - k
@@ -91,48 +87,49 @@ def search_segment(terms, ends, places, bounds, windows: dict, length: int, slop
 
 
 class Decontaminator:
-    def __init__(self, window: int = 13, share: float = 0.05, segment_words: int = 1_000_000, max_block_words: int = 2_000_000, slop: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
+    def __init__(self, window: int = 13, share: float = 0.05, segment_words: int = 1_000_000, max_block_words: int = 200_000, slop: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
         self.window, self.share, self.segment_words, self.max_block_words, self.slop, self.id, self.text = window, share, segment_words, max_block_words, slop, id_col, text_col
         self.gap = window + slop  # empty places between rows, so that no match crosses from one to the next
 
-    def build_index(self, docs: DataFrame, vocab: dict[bytes, int]) -> DataFrame:
-        """The stored index: one row per segment. A written table."""
+    def build_index(self, docs: DataFrame) -> DataFrame:
+        """The stored index: one row per segment, of all words. A written table."""
         limit, gap = self.segment_words, self.gap
 
         def run(batches):
-            ids, hashes, lengths, found = [], [], [], []
+            ids, hashes, lengths, found, starts, known = [], [], [], [], [], {}
             base, seg = 0, TaskContext.get().partitionId() << 32
 
             def close():
-                term = np.concatenate([t for t, _ in found]) if found else np.zeros(0, np.int32)
-                place = np.concatenate([p for _, p in found]) if found else np.zeros(0, np.int64)
+                term = np.concatenate(found)
+                place = np.arange(len(term)) + np.repeat(np.array(starts) - np.cumsum([0, *lengths])[:-1], lengths)
                 order = np.argsort(term, kind="stable")
-                term, place = term[order], place[order]
-                some = np.flatnonzero(np.diff(term, prepend=-1))
-                ends = np.append(some[1:], len(term)) if len(term) else some
-                cols = [pa.array([x], t) for x, t in ((seg, pa.int64()), (ids, pa.list_(pa.int64())), (hashes, pa.list_(pa.int64())), (lengths, pa.list_(pa.int32())), (term[some], pa.list_(pa.int32())), (ends, pa.list_(pa.int32())), (place, pa.list_(pa.int64())))]
-                return pa.RecordBatch.from_arrays(cols, ["seg", "ids", "hashes", "n_words", "terms", "ends", "places"])
+                ends = np.cumsum(np.bincount(term, minlength=len(known)))
+                postings = pack(b"\n".join(known), *planes(ends), *planes(np.diff(place[order], prepend=0) & 0xFFFFFFFF))
+                cols = [pa.array([x], t) for x, t in ((seg, pa.int64()), (ids, pa.list_(pa.int64())), (hashes, pa.list_(pa.int64())), (lengths, pa.list_(pa.int32())), (postings, pa.binary()))]
+                return pa.RecordBatch.from_arrays(cols, ["seg", "ids", "hashes", "n_words", "postings"])
 
             for b in batches:
-                for i, th, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist()):
-                    words = words_of(text)
-                    t = np.fromiter(map(vocab.get, words, [-1] * len(words)), np.int32, len(words))
-                    at = np.flatnonzero(t >= 0)
-                    found.append((t[at], at + base))
+                for i, th, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary())):
+                    words = words_of(text.as_py())
+                    for w in words:
+                        if w not in known:
+                            known[w] = len(known)
+                    found.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)))
+                    starts.append(base)
                     ids.append(i)
                     hashes.append(th)
                     lengths.append(len(words))
                     base += len(words) + gap
                     if base >= limit:
                         yield close()
-                        ids, hashes, lengths, found, base, seg = [], [], [], [], 0, seg + 1
+                        ids, hashes, lengths, found, starts, known, base, seg = [], [], [], [], [], {}, 0, seg + 1
             if ids:
                 yield close()
 
         rows = docs.select(F.col(self.id).cast("long").alias("id"), F.xxhash64(F.col(self.text)).alias("th"), F.col(self.text).cast("string").alias("text"))
         return materialize(rows.mapInArrow(frugal(run), SEGMENT), "index")
 
-    def search(self, index: DataFrame, windows: dict[tuple[int, ...], set[str]], vocab_size: int) -> DataFrame:
+    def search(self, index: DataFrame, vocab: dict[bytes, int], windows: dict[tuple[int, ...], set[str]]) -> DataFrame:
         """A row for each row of the documents: its hit spans (word positions, end exclusive) and the items found in it."""
         gap, slop = self.gap, self.slop
         keys, names = list(windows), [sorted(x) for x in windows.values()]
@@ -140,17 +137,24 @@ class Decontaminator:
 
         def run(batches):
             grid = np.array([w + (w[0],) * (longest - len(w)) for w in keys], np.int64).reshape(len(keys), longest)
-            known = {"list": keys, "alive": lambda count: (count[grid] > 0).all(axis=1)}
             of = dict(zip(keys, names))
             for b in batches:
                 for k in range(b.num_rows):
                     seg = b.column(0)[k].as_py()
-                    ids, hashes, n, terms, ends, places = (b.column(c)[k].values for c in range(1, 7))
+                    ids, hashes, n = (b.column(c)[k].values for c in range(1, 4))
+                    joined, *p = unpack(b.column(4)[k].as_py())
+                    own = joined.split(b"\n")
+                    local = dict(zip(own, range(len(own)))) if joined else {}
+                    ends, places = unplanes(p[:4]).astype(np.int64), np.cumsum(unplanes(p[4:]), dtype=np.int64) & 0xFFFFFFFF
+                    at = np.fromiter((local.get(w, -1) for w in vocab), np.int64, len(vocab))
+                    begin, count = np.zeros(len(vocab), np.int64), np.zeros(len(vocab), np.int64)
+                    begin[at >= 0] = np.append(0, ends)[at[at >= 0]]
+                    count[at >= 0] = ends[at[at >= 0]] - begin[at >= 0]
                     n = n.to_numpy().astype(np.int64)
                     bounds = np.concatenate(([0], np.cumsum(n + gap)[:-1]))
                     delta = np.zeros(int(n.sum()) + gap * len(n) + 1, np.int32)
                     items: dict[int, set] = {}
-                    for w, at in search_segment(terms.to_numpy(), ends.to_numpy(), places.to_numpy(), bounds, known, vocab_size, slop):
+                    for w, at in search_segment(begin, count, places, bounds, keys, grid, slop):
                         row = np.searchsorted(bounds, at, "right") - 1
                         np.add.at(delta, at, 1)
                         np.add.at(delta, np.minimum(at + len(w), bounds[row] + n[row]), -1)
@@ -168,14 +172,12 @@ class Decontaminator:
 
     def __call__(self, docs: DataFrame, items: DataFrame, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
         """(id, th, n_words, n_hit, items array, contaminated), a row for each row of docs; th is xxhash64 of the text."""
-        if not is_plain_scan(docs):  # the blocks of items meet by the place of a row
-            docs = materialize(docs.select(self.id, self.text), "docs")
-        parts = []
+        index, parts = self.build_index(docs), []
         for block in item_blocks(items, item_id, item_text, self.max_block_words):
             vocab, windows = windows_of(block, self.window)
-            parts.append(self.search(self.build_index(docs, vocab), windows, len(vocab)))
+            parts.append(self.search(index, vocab, windows))
         if not parts:
-            parts.append(self.search(self.build_index(docs, {}), {}, 0))
+            parts.append(self.search(index, {}, {}))
         out = parts[0]
         if len(parts) > 1:
             for p in parts[1:]:

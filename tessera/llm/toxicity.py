@@ -45,13 +45,12 @@ def windows_of(text: bytes | None, window: int, step: int) -> list[bytes]:
 
 
 def train(windows: list[bytes], size: int) -> bytes:
-    """A dictionary of at most `size` bytes, trained by the library on segments of twelve bytes. Too few windows to train on are one themselves."""
+    """A dictionary of at most `size` bytes, trained by the library on segments of twelve bytes. Windows that fit into it whole are it themselves."""
     import zstandard as z
 
-    try:
-        return z.train_dictionary(size, windows, k=12, d=6).as_bytes()
-    except z.ZstdError:
-        return (b"".join(windows) or b" ")[-size:]
+    if sum(map(len, windows)) <= size:
+        return b"".join(windows) or b" "
+    return z.train_dictionary(size, windows, k=12, d=6).as_bytes()
 
 
 def compressed_length(content: bytes):

@@ -175,7 +175,7 @@ class LanguageID:
             for b in batches:
                 texts = [t.as_py() or b"" for t in b.column(1).cast(pa.binary())]
                 got = [shares(t) for t in texts] + [shares(t[len(t) // 2 : len(t) // 2 + 60]) for t in texts]  # with a short piece of each
-                got += [shares(no_language(t[:4000])) for t in texts]  # a negative needs no more of a text than that
+                got += [shares(no_language(t[:600])) for t in texts]  # a negative needs no more of a text than that
                 names = pa.concat_arrays([b.column(0)] * 2 + [pa.nulls(b.num_rows, pa.string())])
                 yield pa.RecordBatch.from_arrays([names, pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.float32()))], ["lang", "slots", "shares"])
 

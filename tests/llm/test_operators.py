@@ -1,10 +1,10 @@
 """Each training-data operator on small tables with nulls, empty and long texts, repeats, ties, no rows and clashing column names."""
 
 import hashlib
+import random
 import re
-import zlib
 from collections import Counter
-from math import log10
+from math import log, log10
 
 import numpy as np
 import pytest
@@ -17,10 +17,10 @@ from tessera.llm.embedding import EmbeddingDedup
 from tessera.llm.langid import LanguageID
 from tessera.llm.line_dedup import LineDedup, LineRuns
 from tessera.llm.pii import KINDS, PIIFinder, written
-from tessera.llm.pst import BITS, END, FIRST, SuffixTreeLM, grow
-from tessera.llm.quality import QualityClassifier
+from tessera.llm.pst import SuffixTreeLM
+from tessera.llm.quality import QualityClassifier, View, content, metadata
 from tessera.llm.simhash import SimHashDedup, trie_pairs
-from tessera.llm.toxicity import Toxicity
+from tessera.llm.toxicity import Toxicity, windows_of
 
 LONG = " ".join(f"word{i % 977}x{i % 13}" for i in range(30000))
 TEXTS = [None, "", "  \n\t", "One line that repeats here\nshort\nOwn line number three", "ONE LINE THAT REPEATS HERE  \nshort\nanother own line of four", "one line that repeats here\n\n\nx", LONG, LONG, LONG + " tail", "é ÀÉ ß 日本語 \U0001f600 line of many scripts"]
@@ -66,6 +66,13 @@ def test_line_dedup(docs, batches):
     assert out.filter("doc_id = 0").first()["text"] is None
 
 
+def test_line_dedup_clashing_names(docs):
+    clash = docs.withColumns({"_n_lines": F.lit(1), "_N_dropped": F.lit(2)})
+    out = LineDedup()(clash)
+    assert out.columns == [*clash.columns, "__n_lines", "__n_dropped"]
+    assert out.filter("_n_lines = 1 and __n_lines = 6").count() == 0 and out.filter("_n_lines = 1").count() == docs.count()
+
+
 def test_line_dedup_empty(none):
     assert LineDedup()(none).count() == 0
 
@@ -94,6 +101,8 @@ def test_bpe(docs, none):
             want[r["doc_id"], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((r["text"] or "").encode()).hexdigest()] += 1
         assert got == want
     assert op(none).count() == 0
+    bad = docs.sparkSession.sql("select 1L as doc_id, cast(X'61FF62' as string) as text")
+    assert bytes(op(bad).first()["decoded"]) == "a\ufffdb".encode()
 
 
 def test_decontamination(spark, docs, none):
@@ -164,6 +173,14 @@ def test_simhash(spark, docs, none):
     assert SimHashDedup()(none).count() == 0
 
 
+def test_simhash_repeated_ids(spark):
+    """Rows that share an id are nodes of their own: they join only what their own text is near to."""
+    a, b = ("alpha beta gamma delta epsilon " * 30, "one two three four five six seven eight " * 30)
+    rows = [(3, a), (5, a), (5, b), (12, b), (5, b)]
+    got = sorted((r["doc_id"], r["component_id"]) for r in SimHashDedup()(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(3, 3), (5, 3), (5, 5), (5, 5), (12, 5)]
+
+
 def test_trie_pairs_are_those_of_brute_force():
     rng = np.random.default_rng(1)
     v = np.unique(np.concatenate([rng.integers(0, 2**32, 50), 2**31 ^ (1 << rng.integers(0, 32, 200)) ^ (1 << rng.integers(0, 32, 200))]))
@@ -206,6 +223,19 @@ def test_embeddings(spark, unit, kind):
     assert EmbeddingDedup()(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embeddings_at_default_settings(spark):
+    """Groups around the threshold among unrelated vectors: no link below it, and at most one in a hundred missed."""
+    rng = np.random.default_rng(8)
+    centers = rng.normal(size=(150, 48))
+    x = np.concatenate([np.repeat(centers, 12, axis=0) + rng.normal(size=(1800, 48)) * 0.24, rng.normal(size=(1500, 48))]).astype(np.float32)
+    n = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = (n @ n.T >= 0.9).sum(axis=1) - 1
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r["id"]: r["n_links"] for r in EmbeddingDedup()(rows).collect()}
+    found = np.array([got[i] for i in range(len(x))])
+    assert near.sum() > 5000 and (found <= near).all() and found.sum() >= 0.99 * near.sum()
+
+
 def test_embeddings_repeated_ids(spark):
     """The rows of an id that repeats are vectors of their own: each gives one row and joins only what it links with."""
     rows = [(7, [1.0, 0.0, 0.0]), (7, [0.0, 1.0, 0.0]), (7, [1.0, 0.0, 0.0]), (3, [0.0, 1.0, 0.01]), (9, [1.0, 0.02, 0.0]), (2, [0.0, 0.0, 1.0])]
@@ -213,6 +243,53 @@ def test_embeddings_repeated_ids(spark):
     assert sorted(tuple(r) for r in out) == [(2, 0, 2, True), (3, 1, 3, True), (7, 1, 3, False), (7, 2, 7, True), (7, 2, 7, True), (9, 2, 7, False)]
 
 
+def scores_by_force(rows, min_count=4, gain=3.0, discount=0.5):
+    """rows (id, train, text) -> (id, n_tokens, n_known, train_tokens, base_score, score) of each; and how many contexts of each length are retained."""
+    split = lambda t: (t or "").encode().lower().split()
+    single = Counter(w for _, train, t in rows if train for w in split(t))
+    n_docs = sum(train for _, train, _ in rows)
+    once, twice = (sum(c == k for c in single.values()) for k in (1, 2))
+    off = min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.5
+    if n_docs:
+        single[None] = n_docs  # the end
+    tokens, distinct = sum(single.values()), len(single)
+    root = lambda w: (single[w] - off if w in single else off * distinct) / tokens
+    grams = [Counter(), Counter()]
+    for _, train, t in rows:
+        q = ["<", *split(t), None]
+        for d in (1, 2) if train else ():
+            grams[d - 1].update(tuple(q[i - d : i + 1]) for i in range(d, len(q)))
+    found = [{g: n for g, n in x.items() if n >= min_count} for x in grams]
+    kept, share = [{}, {}], [{}, {}]
+    total = lambda c: found[0][c] if len(c) == 2 else n_docs if c == ("<",) else single[c[0]]
+
+    def p_of(w, context):
+        p = root(w)
+        for d in (1, 2):
+            c = context[-d:]
+            if len(c) < d or c not in kept[d - 1]:
+                break
+            p = kept[d - 1][c] * p + share[d - 1].get((*c, w), 0)
+        return p
+
+    for d in (1, 2):
+        entries = {}
+        for g, n in found[d - 1].items():
+            if d == 1 or g[1:2] in kept[0]:
+                entries.setdefault(g[:-1], []).append((g[-1], n))
+        sure = {c: x for c, x in entries.items() if sum(n * log(n / total(c) / p_of(w, c[1:])) for w, n in x) >= gain * len(x)}
+        for c, x in sure.items():
+            share[d - 1].update({(*c, w): (n - discount) / total(c) for w, n in x})
+        kept[d - 1] = {c: 1 - sum((n - discount) / total(c) for _, n in x) for c, x in sure.items()}
+    out = []
+    for i, _, t in rows:
+        q = ["<", *split(t), None]
+        base = sum(log10((single[w] + 1) / (tokens + distinct + 1)) for w in q[1:])
+        score = sum(log10(p_of(q[k], tuple(q[max(0, k - 2) : k]))) for k in range(1, len(q))) if tokens else 0.0
+        out.append((i, len(q) - 1, sum(single[w] > 0 for w in q[1:]), tokens, round(base, 4), round(score, 4)))
+    return out, [len(x) for x in kept]
+
+
 def spoken(n=240):
     rng = np.random.default_rng(4)
     parts = {"aa": ["sha", "ren", "tion", "the"], "bb": ["eau", "oui", "que", "ch"]}
@@ -234,7 +311,7 @@ def labelled(spark):
     return spark.createDataFrame(spoken(), "doc_id long, text string, lang string, source string, toxic int, quality int")
 
 
-def test_language(labelled, docs, none):
+def test_language(spark, labelled, docs, none):
     op = LanguageID(per_language=60)
     model = op.learn(labelled, F.col("doc_id") % 5 != 0)
     held = op.predict(labelled.filter("doc_id % 5 = 0"), model)
@@ -242,11 +319,16 @@ def test_language(labelled, docs, none):
     got = {r["doc_id"]: r["_lang"] for r in op.predict(docs, model).collect()}
     assert [got[i] for i in range(3)] == ["und"] * 3 and op.predict(none, model).count() == 0
     assert op.predict(docs, model).columns == [*docs.columns, "_lang", "_score", "_rejected"]
+    assert {r["_rejected"] for r in op.predict(spark.createDataFrame([(1, "z" * 500), (2, "\u042d\u0442\u043e \u0442\u0435\u043a\u0441\u0442 " * 20)], "doc_id long, text string"), model).collect()} == {True}
+    assert not op.predict(labelled.filter("doc_id % 5 = 0"), model).filter("_rejected").count()
+    clash = docs.withColumns({"_lang": F.lit(1), "_letters": F.lit(2), "_Score": F.lit(3)})
+    out = op.predict(clash, model)
+    assert out.columns == [*clash.columns, "__lang", "__score", "_rejected"] and out.filter("_lang = 1 and _letters = 2").count() == docs.count()
     assert op.learn(none, F.lit(True)) is None and op.predict(docs, None).filter("_lang = 'und'").count() == docs.count()
 
 
 def test_toxicity(spark, labelled, docs, none):
-    op = Toxicity(min_texts=3, min_z=4.0)
+    op = Toxicity()
     model = op.learn(labelled, labelled.filter("doc_id % 4 != 2"))
     got = {r["id"]: r["score"] for r in op.score(labelled, model).collect()}
     right = [(got[r[0]] >= 0.3) == bool(r[4]) for r in spoken() if r[0] % 4 == 2]
@@ -254,6 +336,19 @@ def test_toxicity(spark, labelled, docs, none):
     assert all(0 <= r["score"] <= 1 for r in op.score(docs, model).collect()) and op.score(none, model).count() == 0
     nothing = op.learn(labelled, labelled.limit(0))
     assert {round(r["score"], 6) for r in op.score(docs, nothing).collect()} == {0.0}
+    # Ids that repeat, with labels that disagree, and rows that teach nothing.
+    odd = labelled.select("doc_id", "toxic").unionAll(spark.createDataFrame([(0, 0), (0, 1), (None, 1), (3, None), (10**6, 1)], "doc_id long, toxic int"))
+    again = labelled.select("doc_id", "text").unionAll(labelled.filter("doc_id < 9").select("doc_id", F.lit("other words here").alias("text")))
+    assert op.score(again, op.learn(again, odd)).count() == again.count()
+
+
+def test_toxic_windows_are_those_of_the_rule():
+    text = "A b, c; d-e f!".encode()
+    assert windows_of(text, 4, 3) == [b" a b c d ", b" d e f "]
+    assert windows_of(text, 6, 5) == [b" a b c d e f "] and windows_of(b"?! 1", 4, 3) == [] and windows_of(None, 4, 3) == []
+    words = [f"{chr(97 + i % 26)}x" for i in range(101)]
+    own = windows_of(" ".join(words).encode(), 24, 20)
+    assert {w for x in own for w in x.split()} == {w.encode() for w in words} and all(len(x.split()) <= 24 for x in own)
 
 
 def test_quality(labelled, docs, none):
@@ -264,43 +359,51 @@ def test_quality(labelled, docs, none):
     assert sum(right) >= 0.95 * len(right)
     assert op.score(docs, model).count() == docs.count() and op.score(none, model).count() == 0
     assert {r["score"] for r in op.score(docs, op.learn(labelled, labelled.limit(0), F.lit(True))).collect()} == {0.5}
-
-
-def test_suffix_tree(docs, none, labelled):
-    mod = lambda c: F.crc32(c.cast("string").cast("binary")) % 7 != 2
-    for table in (docs, labelled):
-        out = SuffixTreeLM(max_tokens=100)(table, mod(F.col("doc_id"))).collect()
-        rows = [(r["doc_id"], r["text"]) for r in table.collect()]
-        split = lambda t: [*(t or "").encode().lower().split(), None]
-        count = Counter()
-        for i, t in rows:
-            if i is not None and zlib.crc32(str(i).encode()) % 7 != 2:
-                count.update(split(t))
-        n, v = sum(count.values()), len(count)
-        want = sorted((repr(i), len(split(t)), sum(count[w] > 0 for w in split(t)), n, round(sum(log10((count[w] + 1) / (n + v + 1)) for w in split(t)), 4)) for i, t in rows)
-        assert sorted((repr(r["id"]), r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in out) == want
-        assert all(np.isfinite(r["score"]) and r["score"] <= 1e-9 for r in out)
+    odd = labelled.select("doc_id", "quality").unionAll(labelled.sparkSession.createDataFrame([(0, 0), (0, 1), (None, 1), (3, None), (10**6, 1)], "doc_id long, quality int"))
+    again = labelled.unionAll(labelled.filter("doc_id < 9").withColumn("text", F.lit("OTHER WORDS!!")))
+    assert op.score(again, op.learn(again, odd, F.col("doc_id") % 4 != 2)).count() == again.count()
+
+
+def test_pseudo_labels_are_the_surest_rows(labelled):
+    """Every row without a label can be one: the lists are the global top of both views."""
+    op = QualityClassifier(batch=5, sure=0.5)
+    marked = labelled.filter("doc_id % 3 != 0")
+    y, a, b = op.views(labelled, op.rows(labelled).join(marked.select(F.col("doc_id").alias("id"), F.col("quality").alias("y")), "id").select("y", "id", "th"))
+    views = [View.fit(x, y.astype(float), 3.0) for x in (a, b)]
+    lists = op.surest(labelled, marked.select(F.col("doc_id").alias("id")), views, set())
+    p = {}
+    for r in labelled.filter("doc_id % 3 = 0").collect():
+        x = content(r["text"].encode()), metadata(r["text"].encode(), r["source"], r["lang"])
+        p[r["doc_id"]] = [1 / (1 + np.exp(-v.margin(k[None, :])[0])) for v, k in zip(views, x)]
+    for n, own in enumerate(lists):
+        sign = 1 if n % 2 == 0 else -1
+        best = sorted((sign * v[n // 2] for v in p.values() if sign * v[n // 2] >= (0.5 if sign > 0 else -0.5)), reverse=True)[:10]
+        assert np.allclose(sorted((sign * p[i][n // 2] for i, _ in own), reverse=True), best)
+
+
+def test_suffix_tree(spark, docs, none):
+    """Scores against a tree of dictionaries, on texts with planted regularities, in small blocks and large ones."""
+    r = random.Random(1)
+    words = [f"w{i}" for i in range(12)]
+    place = {w: i for i, w in enumerate(words)}
+    rows = []
+    for i in range(300):
+        t = [r.choice(words)]
+        for _ in range(r.randint(0, 30)):
+            follows = words[(place.get(t[-1], 3) * 5 + 1 + (place.get(t[-2], 0) if len(t) > 1 else 0)) % 12]
+            t.append(follows if r.random() < 0.6 else r.choice([*words, f"x{r.randint(0, 300)}"]))
+        rows.append((i, " ".join(t) if i % 17 else None))
+    rows += [(5, "W1 w2"), (None, "w1 w2 w3")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for own, rows in ((table, rows), (docs, [(x["doc_id"], x["text"]) for x in docs.collect()])):
+        want, contexts = scores_by_force([(i, i is not None and i % 7 != 2, t) for i, t in rows], gain=0.2)
+        assert own is docs or min(contexts) > 10
+        for size in (100, 1_000_000):
+            out = SuffixTreeLM(max_tokens=size, gain=0.2)(own, F.col("doc_id") % 7 != 2).collect()
+            got = [(x["id"], x["n_tokens"], x["n_known"], x["train_tokens"], round(x["base_score"], 4), round(x["score"], 4)) for x in out]
+            assert sorted(got, key=repr) == sorted(want, key=repr)
     assert SuffixTreeLM()(none, F.lit(True)).count() == 0
-
-
-def test_suffix_tree_states_sum_to_one():
-    """The known symbols and the unknown outcome, after a retained context of one or two tokens and after none."""
-    a, b, c = FIRST, FIRST + 1, FIRST + 2
-    root = np.array([0.2, 0.0, 0.3, 0.2, 0.2])  # 0.1 is left for the unknown
-    pairs = np.array(sorted([a << BITS | b, a << BITS | c, b << BITS | c]))
-    triples = np.array([(a << BITS | b) << BITS | c])
-    tree = grow([(pairs, np.array([25, 3, 20])), (triples, np.array([24]))], np.array([0, 10, 30, 30, 20]), root, 0.1)
-    assert [len(x) for x in tree.contexts] == [2, 1]
-    symbols = np.array([END, a, b, c, -1])
-    for before in ((a, -1), (b, -1), (b, a), (c, -1), (-1, -1)):
-        p = tree.probabilities([np.full(5, x) for x in before], symbols, np.append(root[symbols[:4]], 0.1))
-        assert abs(p.sum() - 1) < 1e-12
-
-
-def test_suffix_tree_learns_repeats(spark):
-    train = spark.createDataFrame([(i, "a b c a b c a b c a b d") for i in range(30)], "doc_id long, text string")
-    for r in SuffixTreeLM(min_count=2)(train, F.col("doc_id") < 25).collect():
-        assert r["score"] > 0.5 * r["base_score"]
+    assert {x["score"] for x in SuffixTreeLM()(table, F.lit(False)).collect()} == {0.0}
 
 
 PATTERNS = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")

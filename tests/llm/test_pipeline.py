@@ -1,4 +1,4 @@
-"""The pipeline's stages against brute force on a small table, and that they keep the columns of documents."""
+"""The pipeline on the test tables: its stages keep the columns of documents and drop few rows. Brute force: test_queries.py."""
 
 import os
 

@@ -60,10 +60,10 @@ def no_language(text: bytes) -> bytes:
 
 
 def shares(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The slots of a text and the share of its n-grams in each."""
+    """The slots of a text (16 bits each) and the share of its n-grams in each, in half precision."""
     got, _ = slots(np.frombuffer(b" " + text + b" ", np.uint8))
     slot, n = np.unique(got, return_counts=True)
-    return slot.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)
+    return slot.astype(np.uint16), (n / max(1, n.sum())).astype(np.float16)
 
 
 @dataclass
@@ -114,8 +114,8 @@ def fit(rows: list[tuple[str | None, np.ndarray, np.ndarray]], dim: int = 16, ep
     out, bias = np.zeros((dim, size)), np.append(np.zeros(size - 1), lead)
 
     def vectors(pick: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        slot = np.concatenate([rows[i][1] for i in pick])
-        share = np.concatenate([rows[i][2] for i in pick])
+        slot = np.concatenate([rows[i][1] for i in pick]).astype(np.int32)
+        share = np.concatenate([rows[i][2] for i in pick]).astype(np.float32)
         owner = np.repeat(np.arange(len(pick)), [len(rows[i][1]) for i in pick])
         v = np.zeros((len(pick), dim))
         starts = np.flatnonzero(np.diff(owner, prepend=-1))
@@ -177,11 +177,11 @@ class LanguageID:
                 got = [shares(t) for t in texts] + [shares(t[len(t) // 2 : len(t) // 2 + 60]) for t in texts]  # with a short piece of each
                 got += [shares(no_language(t[:600])) for t in texts]  # a negative needs no more of a text than that
                 names = pa.concat_arrays([b.column(0)] * 2 + [pa.nulls(b.num_rows, pa.string())])
-                yield pa.RecordBatch.from_arrays([names, pa.array([g[0] for g in got], pa.list_(pa.int32())), pa.array([g[1] for g in got], pa.list_(pa.float32()))], ["lang", "slots", "shares"])
+                yield pa.RecordBatch.from_arrays([names, *(pa.array([g[k].tobytes() for g in got], pa.binary()) for k in (0, 1))], ["lang", "slots", "shares"])
 
         sample = rows.select(F.col(self.lang).alias("lang"), F.col(self.id).alias("id"), th, F.col(self.text).alias("text")).join(F.broadcast(picked), ["lang", "id", "th"], "left_semi").dropDuplicates(["lang", "id", "th"])
-        got = sample.select("lang", "text").mapInArrow(frugal(run), "lang string, slots array<int>, shares array<float>").toArrow()
-        data = [(x, s.values.to_numpy(), v.values.to_numpy()) for x, s, v in zip(got.column(0).to_pylist(), got.column(1), got.column(2)) if s.values is not None and len(s.values)]
+        got = sample.select("lang", "text").mapInArrow(frugal(run), "lang string, slots binary, shares binary").toArrow()
+        data = [(x, np.frombuffer(s.as_buffer(), np.uint16), np.frombuffer(v.as_buffer(), np.float16)) for x, s, v in zip(got.column(0).to_pylist(), got.column(1), got.column(2)) if len(s.as_buffer())]
         order = sorted(data, key=lambda r: (r[0] is None, r[0] or "", zlib.crc32(r[1]), zlib.crc32(r[2])))
         return fit(order) if any(r[0] is not None for r in order) else None
 

@@ -12,9 +12,10 @@ Nothing of the tree is broadcast or collected: it is made of written tables and
 
 1. Blocks send their distinct words with counts to buckets (see blocks.py). A bucket adds them up, numbers the words of at least min_count
    and answers each block. Blocks then lie coded, by their number, in a bucketed table, and later answers join them where they are.
-2. For each depth, blocks send their distinct strings of numbered tokens, with counts, to buckets by string (so no context is hot) and
-   get back for each the share that its context gives it. Strings with a part that is no candidate are not sent. In between, candidates,
-   their contexts and the divergence tests are joins and grouped sums of written tables.
+2. For each depth, blocks send their distinct strings of numbered tokens, with counts, to buckets by string (so no context is hot). A
+   bucket adds them up and answers each block with the counts of the candidates. Strings with a part that is no candidate are not sent.
+   Candidates, their contexts and the divergence tests are joins and grouped sums of written tables. Then blocks ask for their distinct
+   contexts, and learn which are retained and what they pass on.
 3. Documents sum over their tokens.
 
 Defined results. A null or empty text has one token, its end. Rows with a null id are scored, not learned from and not held out. With
@@ -28,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.blocks import BlockTable, join_words, pack, planes, split_words, unpack, unplanes
+from tessera.llm.blocks import BlockTable, pack, planes, split_words, unpack, unplanes
 from tessera.llm.common import bucketed, crc_mod, frugal, materialize, width
 
-#: Numbers of tokens; words follow. ANY in place of a symbol asks for what a context passes on to its suffix.
+#: Numbers of tokens; words follow. A string of two fits 62 bits.
 END, START, FIRST, BITS = 0, 1, 2, 31
-ANY = (1 << BITS) - 1
-STRINGS = "block long, bucket int, n int, payload binary"
+MASK = (1 << BITS) - 1
+ROWS = "block long, bucket int, payload binary"
 
 
 def tokenize(text: bytes) -> list[bytes]:
@@ -46,16 +47,58 @@ def bucket_of(context, symbol, buckets: int):
     return ((context % 1_000_003) * 7919 + (symbol % 998_244_353) * 104_729) % buckets
 
 
-def find(context: np.ndarray, symbol: np.ndarray, contexts: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place, whether it is there) of strings in a table sorted by context and symbol."""
-    if not len(contexts):
-        return np.zeros(len(context), np.int64), np.zeros(len(context), bool)
-    own, inverse = np.unique(contexts, return_inverse=True)
-    at = np.minimum(np.searchsorted(own, context), len(own) - 1)
-    key = inverse.astype(np.int64) << BITS | symbols
-    want = at << BITS | symbol
-    place = np.minimum(np.searchsorted(key, want), len(key) - 1)
-    return place, (own[at] == context) & (key[place] == want)
+def dealt(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(stable order by bucket, where each bucket begins in it)."""
+    order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+
+def to_buckets(block: int, bucket: np.ndarray, buckets: int, payload) -> pa.RecordBatch:
+    """A row for each bucket; payload(at): the parts that the places `at` send."""
+    order, cuts = dealt(bucket, buckets)
+    rows = [(block, j, pack(*payload(order[cuts[j] : cuts[j + 1]]))) for j in np.flatnonzero(np.diff(cuts)).tolist()]
+    return row_batch(rows)
+
+
+def from_buckets(answers: list[dict] | None, bucket: np.ndarray, buckets: int, width: int = 1) -> list[np.ndarray]:
+    """The buckets' answers, `width` numbers each, in the order of what was sent."""
+    order, cuts = dealt(bucket, buckets)
+    out, got = [np.zeros(len(order), np.int64) for _ in range(width)], 0
+    for a in answers or ():
+        at = order[cuts[a["bucket"]] : cuts[a["bucket"] + 1]]
+        p = unpack(a["payload"])
+        for k in range(width):
+            out[k][at] = unwide(p[8 * k : 8 * k + 8])
+        got += len(at)
+    if got != len(order):
+        raise RuntimeError("a bucket's answer is missing")
+    return out
+
+
+def row_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["block", "bucket", "payload"])
+
+
+def by_bucket(batches, close):
+    """Rows (block, bucket, ..., payload) sorted by bucket -> close(bucket, [(block, row as a dict)]) for each bucket, which are held compressed."""
+    held, bucket = [], None
+    for b in batches:
+        for row in b.to_pylist():
+            if row["bucket"] != bucket and held:
+                yield from close(bucket, held)
+                held = []
+            bucket = row["bucket"]
+            held.append(row)
+    if held:
+        yield from close(bucket, held)
+
+
+def wide(x: np.ndarray) -> list[bytes]:
+    return [*planes(x & 0xFFFFFFFF), *planes(x >> 32 & 0xFFFFFFFF)]
+
+
+def unwide(p: list[bytes]) -> np.ndarray:
+    return unplanes(p[:4]).astype(np.int64) | unplanes(p[4:8]).astype(np.int64) << 32
 
 
 class Coded:
@@ -64,7 +107,7 @@ class Coded:
     def __init__(self, flags: list, lengths: np.ndarray, payload: bytes, n_docs: int) -> None:
         p = unpack(payload)
         seq = unplanes(p[:4]).astype(np.int64)
-        count = np.append(unplanes(p[4:8]).astype(np.int64) | unplanes(p[8:12]).astype(np.int64) << 32, (n_docs, 0))
+        count = np.append(unwide(p[4:12]), (n_docs, n_docs))
         number = np.append(unplanes(p[12:]).astype(np.int64) - 1, (END, START))
         n = len(number) - 2
         ends = np.cumsum(lengths)
@@ -77,64 +120,42 @@ class Coded:
         place = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths + 2) - (lengths + 2), lengths + 2)
         self.symbol, self.count = symbol[real], count[tokens[real]]
         self.before = [np.where(place >= k, np.roll(symbol, k), -1)[real] for k in (1, 2)]
+        self.count_before = np.roll(count[tokens], 1)[real]
         self.counted = np.repeat(np.array([bool(f) for f in flags], bool), lengths + 1)
 
 
 class Strings:
-    """Distinct (context, symbol) of a block in the order bucket, context, symbol, with their training counts."""
+    """Distinct (context, symbol) of a block, sorted, with their training counts; and its distinct contexts. -1 stands for none."""
 
     def __init__(self, context: np.ndarray, symbol: np.ndarray, counted: np.ndarray) -> None:
         own, inverse = np.unique(context, return_inverse=True)
-        some = own >= 0
+        none = int(np.searchsorted(own, 0))  # 1 if some token has no context
         ok = (context >= 0) & (symbol >= 0)
         key, place = np.unique(inverse[ok].astype(np.int64) << BITS | symbol[ok], return_inverse=True)
-        n = np.bincount(place, weights=counted[ok], minlength=len(key)).astype(np.int64)
-        self.context = np.concatenate([own[key >> BITS], own[some]])
-        self.symbol = np.concatenate([key & ANY, np.full(int(some.sum()), ANY)])
-        self.n = np.append(n, np.zeros(int(some.sum()), np.int64))
-        self.of_string, self.of_context = np.full(len(context), -1), np.full(len(context), -1)  # of each token, into the arrays above
+        self.n = np.bincount(place, weights=counted[ok], minlength=len(key)).astype(np.int64)
+        self.context, self.symbol, self.contexts = own[key >> BITS], key & MASK, own[none:]
+        self.of_string = np.full(len(context), -1)  # of each token, into the arrays above
         self.of_string[ok] = place
-        self.of_context[context >= 0] = len(key) + (np.cumsum(some) - 1)[inverse[context >= 0]]
-
-    def dealt(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-        """(order, where each bucket begins in it)."""
-        bucket = bucket_of(self.context, self.symbol, buckets)
-        order = np.lexsort((self.symbol, self.context, bucket))
-        return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
-
-    def rows(self, block: int, buckets: int) -> pa.RecordBatch:
-        order, cuts = self.dealt(buckets)
-        rows = []
-        for j in np.flatnonzero(np.diff(cuts)).tolist():
-            at = order[cuts[j] : cuts[j + 1]]
-            rows.append((block, j, len(at), pack(*wide(np.diff(self.context[at], prepend=0)), *planes(self.symbol[at]), *planes(self.n[at]))))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ((),) * 4, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["block", "bucket", "n", "payload"])
-
-    def answered(self, answers: list[dict] | None, buckets: int) -> np.ndarray:
-        """The buckets' values in the order of the arrays: a share, what a context passes on, -1 for a candidate of no retained context, else 0."""
-        order, cuts = self.dealt(buckets)
-        out = np.zeros(len(order))
-        got = 0
-        for a in answers or ():
-            at = order[cuts[a["bucket"]] : cuts[a["bucket"] + 1]]
-            out[at] = np.frombuffer(unpack(a["payload"])[0], np.float64)
-            got += len(at)
-        if got != len(order):
-            raise RuntimeError("a bucket's answer is missing")
-        return out
+        self.of_context = inverse - none
 
+    def sent(self, block: int, buckets: int) -> pa.RecordBatch:
+        return to_buckets(block, bucket_of(self.context, self.symbol, buckets), buckets, lambda at: [*wide(np.diff(self.context[at], prepend=0)), *planes(self.symbol[at]), *planes(self.n[at])])
 
-def wide(x: np.ndarray) -> list[bytes]:
-    return [*planes(x & 0xFFFFFFFF), *planes(x >> 32 & 0xFFFFFFFF)]
+    def counts(self, answers: list[dict] | None, buckets: int) -> np.ndarray:
+        """Of each token's string the training count, 0 if it is no candidate."""
+        return valued(self.of_string, from_buckets(answers, bucket_of(self.context, self.symbol, buckets), buckets)[0])
 
+    def asked(self, block: int, buckets: int) -> pa.RecordBatch:
+        return to_buckets(block, bucket_of(self.contexts, 0, buckets), buckets, lambda at: wide(np.diff(self.contexts[at], prepend=0)))
 
-def unwide(p: list[bytes]) -> np.ndarray:
-    return unplanes(p[:4]).astype(np.int64) | unplanes(p[4:8]).astype(np.int64) << 32
+    def listed(self, answers: list[dict] | None, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each token's context how many occurrences its candidates have, and how many they are; 0 if it isn't retained."""
+        total, size = from_buckets(answers, bucket_of(self.contexts, 0, buckets), buckets, 2)
+        return valued(self.of_context, total), valued(self.of_context, size)
 
 
-def strings_in(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    p = unpack(payload)
-    return np.cumsum(unwide(p[:8])), unplanes(p[8:12]).astype(np.int64), unplanes(p[12:]).astype(np.int64)
+def valued(at: np.ndarray, values: np.ndarray) -> np.ndarray:
+    return np.append(values, 0)[at]  # -1: the last
 
 
 class SuffixTreeLM:
@@ -143,75 +164,48 @@ class SuffixTreeLM:
             raise ValueError("contexts have one or two tokens")
         self.min_count, self.depth, self.gain, self.discount, self.max_tokens = max(1, min_count), depth, gain, discount, max_tokens
 
-    def totals(self, words: DataFrame) -> DataFrame:
-        """A row per bucket: each of its distinct words once, with its training count, and sums of them. A written table."""
-        names = ("n", "tokens", "known", "once", "twice")
-
-        def run(batches):
-            bucket, total = None, {}
-
-            def close():
-                order = sorted(total, key=lambda w: (-total[w], w))  # a word's place in it makes its number
-                c = np.fromiter(map(total.__getitem__, order), np.int64, len(order))
-                sums = (len(c), c.sum(), (c > 0).sum(), (c == 1).sum(), (c == 2).sum())
-                cols = [pa.array([bucket], pa.int32()), *(pa.array([int(x)], pa.int64()) for x in sums), pa.array([pack(*join_words(order), c.tobytes())], pa.binary())]
-                return pa.RecordBatch.from_arrays(cols, ["bucket", *names, "payload"])
+    def numbered(self, words: DataFrame, buckets: int, parts: int) -> DataFrame:
+        """Rows of two kinds, a written table. block -1, a row per bucket: sums over its distinct words and the counts of those it numbers. Others, a
+        row per block and bucket: of each of the block's words the training count, and its number if it has min_count.
+        """
+        least = self.min_count
 
-            for b in batches:
-                for k, payload in zip(b.column("bucket").to_pylist(), b.column("payload")):
-                    if k != bucket:
-                        if total:
-                            yield close()
-                        bucket, total = k, {}
-                    lengths, blob, count = unpack(payload.as_py())
-                    for w, n in zip(split_words(lengths, blob), np.frombuffer(count, np.uint32).tolist()):
-                        total[w] = total.get(w, 0) + n
-            if total:
-                yield close()
-
-        return materialize(words.mapInArrow(frugal(run), "bucket int, " + "".join(f"{x} long, " for x in names) + "payload binary"), "totals")
+        def close(bucket, rows):
+            total: dict[bytes, int] = {}
+            own = []
+            for r in rows:
+                lengths, blob, count = unpack(r["payload"])
+                own.append(split_words(lengths, blob))
+                for w, n in zip(own[-1], np.frombuffer(count, np.uint32).tolist()):
+                    total[w] = total.get(w, 0) + n
+            order = sorted(total, key=lambda w: (-total[w], w))  # a word's place in it makes its number
+            if FIRST + len(order) * buckets >= MASK:
+                raise ValueError("too many distinct words for their numbers")
+            c = np.fromiter(map(total.__getitem__, order), np.int64, len(order))
+            place = dict(zip(order, range(len(order))))
+            out = [(-1, bucket, len(c), 0, int(c.sum()), int((c > 0).sum()), int((c == 1).sum()), int((c == 2).sum()), pack(*wide(c[c >= least])))]
+            for r, ws in zip(rows, own):
+                at = np.fromiter(map(place.__getitem__, ws), np.int64, len(ws))
+                number = np.where(c[at] >= least, FIRST + at * buckets + bucket, -1)
+                out.append((r["block"], bucket, r["n"], r["mark"], 0, 0, 0, 0, pack(*wide(c[at]), *planes(number + 1))))
+            kinds = (pa.int64(), pa.int32(), pa.int32(), *[pa.int64()] * 5, pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names)
+
+        names = ["block", "bucket", "n", "mark", "tokens", "known", "once", "twice", "payload"]
+        rows = words.repartition(parts, "bucket").sortWithinPartitions("bucket")
+        return materialize(rows.mapInArrow(frugal(lambda batches: by_bucket(batches, close)), "block long, bucket int, n int, mark long, tokens long, known long, once long, twice long, payload binary"), "numbered")
 
     def numbers(self, totals: DataFrame, buckets: int) -> DataFrame:
         """(w, c): number and training count of each word of at least min_count."""
-        least = self.min_count
 
         def run(batches):
             for b in batches:
                 for bucket, payload in zip(b.column(0).to_pylist(), b.column(1)):
-                    count = np.frombuffer(unpack(payload.as_py())[2], np.int64)
-                    count = count[count >= least]
+                    count = unwide(unpack(payload.as_py()))
                     yield pa.RecordBatch.from_arrays([pa.array(FIRST + np.arange(len(count)) * buckets + bucket), pa.array(count)], ["w", "c"])
 
         return totals.select("bucket", "payload").mapInArrow(frugal(run), "w long, c long")
 
-    def answers(self, words: DataFrame, totals: DataFrame, buckets: int, parts: int) -> DataFrame:
-        """A row per block and bucket: of each of its words the training count, and its number if it has min_count."""
-        scored = totals.select("bucket", F.lit(-1).cast("long").alias("block"), F.col("n").cast("int").alias("n"), F.lit(0).cast("long").alias("mark"), "payload")
-        both = scored.unionByName(words).repartition(parts, "bucket").sortWithinPartitions("bucket", "block")
-        least = self.min_count
-
-        def run(batches):
-            place: dict[bytes, int] = {}
-            total = np.zeros(0, np.int64)
-            for b in batches:
-                out = []
-                for block, bucket, n, mark, payload in zip(*(b.column(c).to_pylist() for c in ("block", "bucket", "n", "mark")), b.column("payload")):
-                    lengths, blob, count = unpack(payload.as_py())
-                    own = split_words(lengths, blob)
-                    if block < 0:
-                        place, total = dict(zip(own, range(len(own)))), np.frombuffer(count, np.int64)
-                        if FIRST + len(own) * buckets >= ANY:
-                            raise ValueError("too many distinct words for their numbers")
-                    else:
-                        at = np.fromiter(map(place.__getitem__, own), np.int64, len(own))
-                        c = total[at]
-                        number = np.where(c >= least, FIRST + at * buckets + bucket, -1)
-                        out.append((block, bucket, n, mark, pack(*wide(c), *planes(number + 1))))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["block", "bucket", "n", "mark", "payload"])
-
-        return both.mapInArrow(frugal(run), "block long, bucket int, n int, mark long, payload binary")
-
     def code(self, table: BlockTable, answers: DataFrame, parts: int) -> DataFrame:
         """The blocks with numbers and counts of their words: a table bucketed by block, so that later answers move and it doesn't."""
 
@@ -227,111 +221,101 @@ class SuffixTreeLM:
         schema = "block long, ids array<long>, flags array<boolean>, lengths array<int>, payload binary"
         return bucketed(table.assemble(answers, finish, schema, parts, numbered=True), "blocks", parts, "block")
 
-    def sent(self, blocks: DataFrame, n_docs: int, buckets: int) -> DataFrame:
-        """The strings of the next depth that blocks send: of two tokens, or, where blocks have the answers to those (a1), of three."""
-        deep = "a1" in blocks.columns
+    def of_blocks(self, blocks: DataFrame, n_docs: int, use, schema: str) -> DataFrame:
+        """use(row, x) yields batches for each block: its row, with the answers that are joined to it, and its tokens."""
 
         def run(batches):
             for b in batches:
                 for k in range(b.num_rows):
                     row = {c: b.column(c)[k].as_py() for c in b.schema.names}
-                    x = Coded(row["flags"], np.array(row["lengths"], np.int64), row["payload"], n_docs)
-                    first = Strings(x.before[0], x.symbol, x.counted)
-                    if not deep:
-                        yield first.rows(row["block"], buckets)
-                        continue
-                    yield deeper(x, first, first.answered(row["a1"], buckets)).rows(row["block"], buckets)
+                    yield from use(row, Coded(row["flags"], np.array(row["lengths"], np.int64), row["payload"], n_docs))
 
-        return blocks.drop("ids").mapInArrow(frugal(run), STRINGS)
+        return blocks.mapInArrow(frugal(run), schema)
 
-    def candidates(self, sent: DataFrame, parts: int) -> DataFrame:
-        """(context, symbol, n) of strings with at least min_count occurrences. A written table."""
+    def counted(self, sent: DataFrame, parts: int) -> DataFrame:
+        """Rows of two kinds, a written table. block -1, a row per bucket: its candidates, which have at least min_count occurrences. Others, a row per block and bucket: of each string the count, 0 if it is none."""
         least = self.min_count
 
+        def close(bucket, rows):
+            context, symbol, n = (np.concatenate(x) for x in zip(*(strings_in(r["payload"]) for r in rows)))
+            own, inverse = np.unique(context, return_inverse=True)
+            key, place = np.unique(inverse.astype(np.int64) << BITS | symbol, return_inverse=True)
+            total = np.bincount(place, weights=n, minlength=len(key)).astype(np.int64)  # exact below 2^53
+            keep = total >= least
+            found = own[key[keep] >> BITS], key[keep] & MASK, total[keep]
+            out = [(-1, bucket, pack(*(x for f in found for x in wide(f))))]
+            answer, at = np.where(keep, total, 0)[place], 0
+            for r in rows:
+                size = r["size"]
+                out.append((r["block"], bucket, pack(*wide(answer[at : at + size]))))
+                at += size
+            yield row_batch(out)
+
         def run(batches):
-            held: list = []
-            bucket = None
-
-            def close():
-                context, symbol, n = (np.concatenate(x) for x in zip(*held))
-                order = np.lexsort((symbol, context))
-                context, symbol, n = context[order], symbol[order], n[order]
-                head = np.flatnonzero((np.diff(context, prepend=-1) != 0) | (np.diff(symbol, prepend=-1) != 0))
-                n = np.add.reduceat(n, head) if len(head) else n
-                keep = n >= least
-                return pa.RecordBatch.from_arrays([pa.array(context[head][keep]), pa.array(symbol[head][keep]), pa.array(n[keep])], ["context", "symbol", "n"])
+            def sized(rows):
+                return [r | {"size": len(unpack(r["payload"])[0])} for r in rows]
+
+            yield from by_bucket(batches, lambda bucket, rows: close(bucket, sized(rows)))
+
+        return materialize(sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(frugal(run), ROWS), "counted")
 
+    def candidates(self, counted: DataFrame) -> DataFrame:
+        """(context, symbol, n)"""
+
+        def run(batches):
             for b in batches:
-                for k, payload in zip(b.column("bucket").to_pylist(), b.column("payload")):
-                    if k != bucket and held:
-                        yield close()
-                        held = []
-                    bucket = k
-                    context, symbol, n = strings_in(payload.as_py())
-                    held.append((context[n > 0], symbol[n > 0], n[n > 0]))
-            if held:
-                yield close()
-
-        return materialize(sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(frugal(run), "context long, symbol long, n long"), "candidates")
-
-    def tested(self, strings: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """strings(context, symbol, n, total, lower: the suffix's probability) -> the contexts (context, passed) that are retained, and their entries (context, symbol, share, p)."""
-        share = (F.col("n") - self.discount) / F.col("total")
+                for payload in b.column(0):
+                    p = unpack(payload.as_py())
+                    yield pa.RecordBatch.from_arrays([pa.array(unwide(p[8 * k : 8 * k + 8])) for k in range(3)], ["context", "symbol", "n"])
+
+        return materialize(counted.filter("block < 0").select("payload").mapInArrow(frugal(run), "context long, symbol long, n long"), "candidates")
+
+    def tested(self, strings: DataFrame) -> DataFrame:
+        """strings(context, symbol, n, total, lower: the suffix's probability) -> the contexts that are retained: (context, listed, size, passed)."""
         won = F.col("n") * F.log(F.col("n") / F.col("total") / F.col("lower"))
-        sums = strings.groupBy("context").agg(F.sum(won).alias("won"), F.count("*").alias("size"), (1 - F.sum(share)).alias("passed"))
-        kept = materialize(sums.filter(F.col("won") >= self.gain * F.col("size")).select("context", "passed"), "contexts")
-        entries = strings.join(kept, "context").select("context", "symbol", share.alias("share"), (share + F.col("passed") * F.col("lower")).alias("p"))
-        return kept, materialize(entries, "entries")
+        sums = strings.groupBy("context").agg(F.sum(won).alias("won"), F.count("*").alias("size"), F.sum("n").alias("listed"), F.max("total").alias("total"))
+        passed = 1 - (F.col("listed") - self.discount * F.col("size")) / F.col("total")
+        return materialize(sums.filter(F.col("won") >= self.gain * F.col("size")).select("context", "listed", "size", passed.alias("passed")), "contexts")
 
-    def replies(self, sent: DataFrame, found: DataFrame, kept: DataFrame, entries: DataFrame, buckets: int, parts: int) -> DataFrame:
-        """(block, answers): the values of the strings that blocks sent, a list of (bucket, payload) for each block."""
-        values = found.select("context", "symbol").join(entries.select("context", "symbol", "share"), ["context", "symbol"], "left").select("context", "symbol", F.coalesce("share", F.lit(-1.0)).alias("v"))
-        values = values.unionByName(kept.select("context", F.lit(ANY).cast("long").alias("symbol"), F.col("passed").alias("v")))
-        values = values.withColumn("bucket", bucket_of(F.col("context"), F.col("symbol"), F.lit(buckets)).cast("int"))
-        values = values.repartition(parts, "bucket").sortWithinPartitions("bucket", "context", "symbol")
+    def told(self, asked: DataFrame, kept: DataFrame, buckets: int, parts: int) -> DataFrame:
+        """Rows (block, bucket, payload): of each context that a block asks for how many occurrences its candidates have, and how many they are, or 0."""
+        rows = kept.select("context", "listed", "size", bucket_of(F.col("context"), F.lit(0), F.lit(buckets)).cast("int").alias("bucket"))
 
-        def whole(batches):
-            held, bucket = [], None
+        def packed(batches):
+            def close(bucket, rows):
+                x = [np.array([r[c] for r in rows], np.int64) for c in ("context", "listed", "size")]
+                yield row_batch([(-1, bucket, pack(*wide(np.diff(x[0], prepend=0)), *wide(x[1]), *wide(x[2])))])
 
-            def close():
-                context, symbol, v = (np.concatenate(x) for x in zip(*held))
-                return pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([bucket], pa.int32()), pa.array([len(v)], pa.int32()), pa.array([pack(*wide(np.diff(context, prepend=0)), *planes(symbol), v.tobytes())], pa.binary())], ["block", "bucket", "n", "payload"])
+            yield from by_bucket(batches, close)
 
-            for b in batches:
-                own, at = np.unique(b.column(3).to_numpy(), return_index=True)
-                for k, s, e in zip(own.tolist(), at.tolist(), [*at.tolist()[1:], b.num_rows]):
-                    if k != bucket and held:
-                        yield close()
-                        held = []
-                    bucket = k
-                    held.append(tuple(b.column(c).slice(s, e - s).to_numpy() for c in range(3)))
-            if held:
-                yield close()
-
-        tree = values.mapInArrow(frugal(whole), STRINGS)
-        both = tree.unionByName(sent).repartition(parts, "bucket").sortWithinPartitions("bucket", "block")
+        tree = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "context").mapInArrow(frugal(packed), ROWS)
+        both = tree.unionByName(asked).repartition(parts, "bucket").sortWithinPartitions("bucket", "block")
 
         def run(batches):
-            none = np.zeros(0, np.int64)
-            bucket, known = None, (none, none, np.zeros(0))
+            known, bucket = None, None
             for b in batches:
                 out = []
-                for block, k, payload in zip(b.column("block").to_pylist(), b.column("bucket").to_pylist(), b.column("payload")):
-                    if block < 0:
-                        p = unpack(payload.as_py())
-                        bucket, known = k, (np.cumsum(unwide(p[:8])), unplanes(p[8:12]).astype(np.int64), np.frombuffer(p[12], np.float64))
+                for row in b.to_pylist():
+                    p = unpack(row["payload"])
+                    context = np.cumsum(unwide(p[:8]))
+                    if row["block"] < 0:
+                        known, bucket = (context, unwide(p[8:16]), unwide(p[16:24])), row["bucket"]
                         continue
-                    context, symbol, _ = strings_in(payload.as_py())
-                    v = np.zeros(len(context))
-                    if k == bucket:
-                        at, hit = find(context, symbol, *known[:2])
-                        v[hit] = known[2][at[hit]]
-                    out.append((block, k, pack(v.tobytes())))
+                    answer = np.zeros((2, len(context)), np.int64)
+                    if row["bucket"] == bucket:
+                        at = np.minimum(np.searchsorted(known[0], context), len(known[0]) - 1)
+                        hit = known[0][at] == context
+                        answer[0, hit], answer[1, hit] = known[1][at[hit]], known[2][at[hit]]
+                    out.append((row["block"], row["bucket"], pack(*wide(answer[0]), *wide(answer[1]))))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary()))], ["block", "bucket", "payload"])
+                    yield row_batch(out)
 
-        got = both.mapInArrow(frugal(run), "block long, bucket int, payload binary")
-        return got.repartition(parts, "block").groupBy("block").agg(F.collect_list(F.struct("bucket", "payload")).alias("answers"))
+        return both.mapInArrow(frugal(run), ROWS)
+
+    def back(self, rows: DataFrame, name: str, parts: int) -> DataFrame:
+        """Answers as (of, name): a list for each block; a table that lies like the blocks."""
+        lists = rows.filter("block >= 0").repartition(parts, "block").groupBy(F.col("block").alias("of")).agg(F.collect_list(F.struct("bucket", "payload")).alias(name))
+        return bucketed(lists, name, parts, "of")
 
     def __call__(self, docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """(id, train, n_tokens, n_known, train_tokens, base_score, score), a row for each row of docs; learns where train is true."""
@@ -341,80 +325,80 @@ class SuffixTreeLM:
         rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(train, F.lit(False)).alias("flag"), F.col(text_col).cast("string").alias("text"))
         n_docs = rows.filter("flag").count()
         table = BlockTable(rows, tokenize, self.max_tokens, buckets)
-        words = materialize(table.words(True), "words")
-        totals = self.totals(words.repartition(parts, "bucket").sortWithinPartitions("bucket"))
+        numbered = self.numbered(table.words(True), buckets, parts)
+        totals = numbered.filter("block < 0")
         tokens, distinct, once, twice = (x or 0 for x in totals.agg(*(F.sum(c) for c in ("tokens", "known", "once", "twice"))).first())
         tokens, distinct = tokens + n_docs, distinct + (n_docs > 0)
         off = min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.5
-        coded = self.code(table, self.answers(words, totals, buckets, parts), parts)
+        blocks = self.code(table, numbered.filter("block >= 0"), parts)
+
+        def with_answers(df: DataFrame, answers: DataFrame) -> DataFrame:
+            return df.hint("merge").join(answers.hint("merge"), df["block"] == answers["of"], "left").drop("of")
 
         # The level of two tokens.
         ends = spark.range(1).select(F.explode(F.array(F.lit(END).cast("long"), F.lit(START).cast("long"))).alias("w"), F.lit(n_docs).cast("long").alias("c"))
         counts = materialize(self.numbers(totals, buckets).unionByName(ends), "counts")
-        sent = self.sent(coded, n_docs, buckets)
-        found = self.candidates(sent, parts)
+        first = lambda x: Strings(x.before[0], x.symbol, x.counted)
+        counted = self.counted(self.of_blocks(blocks, n_docs, lambda row, x: [first(x).sent(row["block"], buckets)], ROWS), parts)
+        found = self.candidates(counted)
         strings = found.join(counts.select(F.col("w").alias("symbol"), ((F.col("c") - off) / max(1, tokens)).alias("lower")), "symbol").join(counts.select(F.col("w").alias("context"), F.col("c").alias("total")), "context")
         strings = materialize(strings.select("context", "symbol", "n", "total", "lower"), "strings")
-        kept, entries = self.tested(strings)
-        blocks = self.joined(coded, self.replies(sent, found, kept, entries, buckets, parts), "a1")
-        depth = self.depth
-        if depth == 2:  # of three: the context is two numbers, its suffix the later one
-            blocks = bucketed(blocks, "blocks", parts, "block")
-            sent = self.sent(blocks, n_docs, buckets)
-            triples = self.candidates(sent, parts)
-            b = F.col("context").bitwiseAND(F.lit(ANY).cast("long"))
-            strings = triples.withColumns({"a": F.shiftright("context", BITS), "b": b})
-            strings = strings.join(entries.select(F.col("context").alias("b"), "symbol", F.col("p").alias("lower")), ["b", "symbol"])
-            strings = strings.join(found.select(F.col("context").alias("a"), F.col("symbol").alias("b"), F.col("n").alias("total")), ["a", "b"])
-            strings = materialize(strings.select("context", "symbol", "n", "total", "lower"), "strings")
-            kept, entries = self.tested(strings)
-            blocks = self.joined(blocks, self.replies(sent, triples, kept, entries, buckets, parts), "a2")
-        return self.score(blocks, n_docs, tokens, distinct, off, buckets)
-
-    def joined(self, blocks: DataFrame, replies: DataFrame, name: str) -> DataFrame:
-        replies = replies.select(F.col("block").alias("of"), F.col("answers").alias(name))
-        return blocks.hint("merge").join(replies.hint("merge"), blocks["block"] == replies["of"], "left").drop("of")
-
-    def score(self, blocks: DataFrame, n_docs: int, tokens: int, distinct: int, off: float, buckets: int) -> DataFrame:
-        room, depth = tokens + distinct + 1, self.depth
+        kept = self.tested(strings)
+        asked = self.of_blocks(blocks, n_docs, lambda row, x: [first(x).asked(row["block"], buckets)], ROWS)
+        blocks = with_answers(blocks, self.back(counted, "n1", parts))
+        blocks = with_answers(blocks, self.back(self.told(asked, kept, buckets, parts), "c1", parts))
+        if self.depth == 2:  # of three: the context is two numbers, its suffix the later one
+            second = lambda row, x: deeper(x, first(x), row, buckets)
+            counted = self.counted(self.of_blocks(blocks, n_docs, lambda row, x: [second(row, x).sent(row["block"], buckets)], ROWS), parts)
+            share = (F.col("n") - self.discount) / F.col("total")
+            entries = strings.join(kept.select("context", "passed"), "context").select(F.col("context").alias("b"), "symbol", (share + F.col("passed") * F.col("lower")).alias("lower"))
+            triples = self.candidates(counted).withColumns({"a": F.shiftright("context", BITS), "b": F.col("context").bitwiseAND(F.lit(MASK).cast("long"))})
+            triples = triples.join(entries, ["b", "symbol"]).join(found.select(F.col("context").alias("a"), F.col("symbol").alias("b"), F.col("n").alias("total")), ["a", "b"])
+            kept = self.tested(triples.select("context", "symbol", "n", "total", "lower"))
+            asked = self.of_blocks(blocks, n_docs, lambda row, x: [second(row, x).asked(row["block"], buckets)], ROWS)
+            blocks = with_answers(blocks, self.back(counted, "n2", parts))
+            blocks = with_answers(blocks, self.back(self.told(asked, kept, buckets, parts), "c2", parts))
+        room, depth, discount = tokens + distinct + 1, self.depth, self.discount
+
+        def scored(row, x):
+            size = len(row["lengths"])
+            p = np.where(x.count > 0, x.count - off, off * distinct) / tokens if tokens else np.ones(len(x.count))
+            own = first(x)
+            n = own.counts(row["n1"], buckets)
+            p = descended(p, n, x.count_before, *own.listed(row["c1"], buckets), discount)
+            if depth == 2:
+                second = deeper(x, own, row, buckets)
+                p = descended(p, second.counts(row["n2"], buckets), earlier(x, n), *second.listed(row["c2"], buckets), discount)
+            total = lambda y: np.bincount(x.doc, y, minlength=size)
+            cols = [pa.array(row["ids"], pa.int64()), pa.array(row["flags"], pa.bool_()), pa.array(np.array(row["lengths"], np.int64) + 1), pa.array(total(x.count > 0).astype(np.int64)), pa.array(np.full(size, tokens, np.int64)), pa.array(total(np.log10((x.count + 1) / room))), pa.array(total(np.log10(p)))]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+        return self.of_blocks(blocks, n_docs, scored, "id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
-        def run(batches):
-            for b in batches:
-                for k in range(b.num_rows):
-                    row = {c: b.column(c)[k].as_py() for c in b.schema.names}
-                    lengths = np.array(row["lengths"], np.int64)
-                    x = Coded(row["flags"], lengths, row["payload"], n_docs)
-                    p = np.where(x.count > 0, x.count - off, off * distinct) / tokens if tokens else np.ones(len(x.count))
-                    first = Strings(x.before[0], x.symbol, x.counted)
-                    v = first.answered(row["a1"], buckets)
-                    p = descended(p, first, v)
-                    if depth == 2:
-                        second = deeper(x, first, v)
-                        p = descended(p, second, second.answered(row["a2"], buckets))
-                    total = lambda y: np.bincount(x.doc, y, minlength=len(lengths))
-                    cols = [pa.array(row["ids"], pa.int64()), pa.array(row["flags"], pa.bool_()), pa.array(lengths + 1), pa.array(total(x.count > 0).astype(np.int64)), pa.array(np.full(len(lengths), tokens, np.int64)), pa.array(total(np.log10((x.count + 1) / room))), pa.array(total(np.log10(p)))]
-                    yield pa.RecordBatch.from_arrays(cols, ["id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-        return blocks.mapInArrow(frugal(run), "id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
-
-def valued(at: np.ndarray, values: np.ndarray) -> np.ndarray:
-    return np.where(at >= 0, np.append(values, 0.0)[at], 0.0)
+def strings_in(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    p = unpack(payload)
+    return np.cumsum(unwide(p[:8])), unplanes(p[8:12]).astype(np.int64), unplanes(p[12:]).astype(np.int64)
 
 
-def descended(p: np.ndarray, strings: Strings, values: np.ndarray) -> np.ndarray:
+def descended(p: np.ndarray, n: np.ndarray, total: np.ndarray, listed: np.ndarray, size: np.ndarray, discount: float) -> np.ndarray:
     """P in the deeper context where it is retained: what it passes on, and its own share of the symbol."""
-    passed = valued(strings.of_context, values)
-    return np.where(passed > 0, passed * p + np.maximum(0.0, valued(strings.of_string, values)), p)
+    kept = size > 0
+    total = np.where(kept, total, 1)
+    return np.where(kept, (1 - (listed - discount * size) / total) * p + np.where(n > 0, (n - discount) / total, 0.0), p)
+
+
+def earlier(x: Coded, n: np.ndarray) -> np.ndarray:
+    """Of each symbol the count of the string that the two tokens before it make."""
+    return np.where(np.diff(x.doc, prepend=-1) == 0, np.roll(n, 1), 0)
 
 
-def deeper(x: Coded, first: Strings, values: np.ndarray) -> Strings:
+def deeper(x: Coded, first: Strings, row: dict, buckets: int) -> Strings:
     """The strings of three tokens whose parts are candidates: the context, -1 unless it is one and its suffix is retained, and the symbols that the suffix lists."""
+    n = first.counts(row["n1"], buckets)
     a, b = x.before[1], x.before[0]
-    ok = (a >= 0) & (b >= 0) & (valued(first.of_context, values) > 0)
-    before = np.where(np.diff(x.doc, prepend=-1) == 0, np.roll(first.of_string, 1), -1)  # the string (a, b)
-    ok &= valued(before, values) != 0
-    return Strings(np.where(ok, a << BITS | b, -1), np.where(valued(first.of_string, values) > 0, x.symbol, -1), x.counted)
+    ok = (a >= 0) & (b >= 0) & (earlier(x, n) > 0) & (first.listed(row["c1"], buckets)[1] > 0)
+    return Strings(np.where(ok, a << BITS | b, -1), np.where(n > 0, x.symbol, -1), x.counted)
 
 
 def op9_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ def first_present(*cs: Column, default: str = "") -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, r"(?U)^\s++|(?<!\s)\s++$", "")  # a run of blanks is tried once, at its head
 
 
 def tokens(c: Column, cased: bool = False) -> Column:
@@ -53,11 +53,15 @@ def split_list(c: Column, separator: str = ",") -> Column:
     return F.filter(F.transform(F.split(c, separator), strip), lambda x: x != "")
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value evaluated once, also where use reads it within a lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
 def normalize(v: Column) -> Column:
     """A vector of unit length, in double precision; a zero vector stays zero."""
-    d = F.transform(v, lambda x: x.cast("double"))
-    norm = F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(d, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
+    unit = lambda d, norm: F.transform(d, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
+    return let(F.transform(v, lambda x: x.cast("double")), lambda d: let(F.sqrt(F.aggregate(d, F.lit(0.0), lambda a, x: a + x * x)), lambda norm: unit(d, norm)))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -65,7 +69,7 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def hash_embedding(toks: Column, dim: int = 64) -> Column:
-    """Token counts hashed by md5 into dim slots, at unit length."""
+    """Token counts hashed by md5 into dim slots, at unit length. For short texts; retrieval.hash_vectors() counts long ones by grouping."""
     slot = lambda t: (F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dim).cast("int")
-    slots = F.transform(toks, slot)
-    return normalize(F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double")))
+    counts = lambda slots: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
+    return let(F.transform(toks, slot), lambda slots: normalize(counts(slots)))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +40,31 @@ def write_nested_json(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one in local mode, and an error on a cluster."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="tessera-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
+def folder(spark: SparkSession, path: str):
+    """(file system, path) of a folder, wherever it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def whole_parts(spark: SparkSession, path: str, prefixes: tuple[str, ...]) -> list[tuple[int, str]]:
+    """(number, name) of the parts of a folder, named like prefix5, that were written to their end."""
+    fs, at = folder(spark, path)
+    new = spark._jvm.org.apache.hadoop.fs.Path
+    names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted((int(x.split("=")[1]), x) for x in names if x.startswith(prefixes) and fs.exists(new(at, f"{x}/_SUCCESS")))
+
+
 class VectorTable:
     """(id, values, metadata, ...) as a log in one folder: a base and the deltas after it, each a Parquet table.
 
@@ -49,19 +76,24 @@ class VectorTable:
     def __init__(self, spark: SparkSession, path: str, key: str = "id", seq: str = "seq", every: int = 8) -> None:
         self.spark, self.path, self.key, self.seq, self.every = spark, path.rstrip("/"), key, seq, every
 
-    def _folder(self):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
     def _parts(self) -> list[tuple[int, str]]:
         """(number, name) of the whole parts, from the last base on."""
-        fs, path = self._folder()
-        new = self.spark._jvm.org.apache.hadoop.fs.Path
-        names = [x.getPath().getName() for x in fs.listStatus(path)] if fs.exists(path) else []
-        parts = sorted((int(x.split("=")[1]), x) for x in names if x.startswith(("base=", "delta=")) and fs.exists(new(path, f"{x}/_SUCCESS")))
+        parts = whole_parts(self.spark, self.path, ("base=", "delta="))
         first = max((i for i, (_, name) in enumerate(parts) if name.startswith("base=")), default=0)
         return parts[first:]
 
+    def create(self, dimension: int, metric: str = "cosine", column: str = "values") -> None:
+        """Fixes length and metric of the vectors; nothing happens if they are fixed alike, and a ValueError is raised if otherwise."""
+        want = {"dimension": dimension, "metric": metric, "column": column}
+        if metric != "cosine":
+            raise ValueError(f"unknown metric: {metric}")
+        if (self._kind() or want) != want:
+            raise ValueError(f"the table holds {self._kind()}")
+        write_document(self.spark, want, f"{self.path}/kind")
+
+    def _kind(self) -> dict:
+        return read_document(self.spark, f"{self.path}/kind", required=False)
+
     def exists(self) -> bool:
         return bool(self._parts())
 
@@ -79,11 +111,15 @@ class VectorTable:
 
     def clear(self) -> None:
         """Deletes all rows; nothing happens if there is no table."""
-        fs, path = self._folder()
+        fs, path = folder(self.spark, self.path)
         fs.delete(path, True)
 
     def upsert(self, rows: DataFrame) -> None:
-        """The row of the highest seq wins, at a tie the later upsert's; rows with a null key are rejected."""
+        """The row of the highest seq wins, at a tie the later upsert's; rows with a null key are rejected, and so is a vector of another length than create() fixed."""
+        kind = self._kind()
+        if kind and kind["column"] in rows.columns:
+            fits = F.col(kind["column"]).isNull() | (F.size(kind["column"]) == kind["dimension"])
+            rows = rows.withColumn(kind["column"], F.when(fits, F.col(kind["column"])).otherwise(F.raise_error(F.lit(f"vectors must have {kind['dimension']} components"))))
         parts = self._parts()
         number = parts[-1][0] + 1 if parts else 1
         last_wins(rows.filter(F.col(self.key).isNotNull()), self.key, self.seq).write.mode("overwrite").parquet(f"{self.path}/delta={number:09d}")
@@ -97,9 +133,9 @@ class VectorTable:
             self.read().write.mode("overwrite").parquet(f"{self.path}/base={parts[-1][0] + 1:09d}")
 
     def prune(self) -> None:
-        fs, path = self._folder()
-        kept = {name for _, name in self._parts()}
-        for x in fs.listStatus(path) if kept else []:
+        fs, path = folder(self.spark, self.path)
+        kept = {"kind", *(name for _, name in self._parts())}
+        for x in fs.listStatus(path) if len(kept) > 1 else []:
             if x.getPath().getName() not in kept:
                 fs.delete(x.getPath(), True)
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import dot, hash_embedding, keywords, prefix, present, sentences, sentences_cut, strip, term_set, tokens
+from tessera.functions.text import dot, hash_embedding, keywords, let, prefix, present, sentences, sentences_cut, strip, term_set, tokens
 
 # The prompt templates and what the offline answer looks for and writes.
 RECRUITER = ("You are an expert recruiter assistant.\n\nJOB REQUIREMENT:\n", "\n\nRETRIEVED CANDIDATE PROFILES:\n", "\n\nBased only on the profiles above:\n1. Summarize the top 3 matching candidates\n2. Explain why each matches the requirement\n3. Note any skill gaps\n\nDo not fabricate information not present in the profiles.")
@@ -21,7 +24,17 @@ ANSWERS = (
 )
 NOTE = "Note: External LLM endpoint was unavailable; this response is generated from retrieved context."
 NO_ANSWER = "No generated answer available from external LLM. Please review retrieved context results."
-QUESTIONS = ("What are the main points about ", "?", "Which skills or qualifications are emphasized in ", "?", "What gaps or next steps are suggested in ", "?")
+QUESTIONS = ("What are the main points about %s?", "Which skills or qualifications are emphasized in %s?", "What gaps or next steps are suggested in %s?")
+QUESTIONS_UR = ("یہ جواب کس بارے میں ہے؟", "اس میں کون سی مہارتیں بتائی گئی ہیں؟", "کیا تجاویز دی گئی ہیں؟")
+REASONS = ("Lexical overlap found between claim and context.", "Insufficient lexical overlap between claim and context.")
+REASON_UR = "Heuristic fallback"
+# What a judging model is asked for claims, for a verdict on a claim, and for questions.
+ASK_CLAIMS = "Extract all factual claims from this answer as a JSON array of strings.\nReturn ONLY the JSON array, nothing else.\n\nANSWER: "
+ASK_VERDICT = ('Is this claim supported by the context? Reply with JSON only: {"supported": true or false, "reason": "one sentence"}\n\nCLAIM: ', "\nCONTEXT: ")
+ASK_QUESTIONS = "Generate exactly 3 questions that this answer is responding to.\nReturn ONLY a JSON array of 3 strings.\n\nANSWER: "
+ASK_CLAIMS_UR = "اس جواب سے تمام حقائق پر مبنی دعوے نکالیں اور JSON ارے کی صورت میں واپس کریں۔\nصرف JSON ارے واپس کریں، کچھ اور نہیں۔\n\nجواب: "
+ASK_VERDICT_UR = ('کیا یہ دعویٰ سیاق و سباق سے ثابت ہوتا ہے؟ صرف JSON میں جواب دیں: {"supported": true یا false, "reason": "ایک جملہ"}\n\nدعویٰ: ', "\nسیاق و سباق: ")
+ASK_QUESTIONS_UR = "اس جواب سے بالکل 3 سوالات بنائیں جن کا یہ جواب دے رہا ہے۔\nصرف 3 سوالات کی JSON ارے واپس کریں۔\n\nجواب: "
 LABELS = {"semantic_only": "Semantic only", "hybrid_rrf": "Hybrid + RRF", "hybrid_rrf_ce": "Hybrid + RRF + CE"}
 
 
@@ -68,14 +81,13 @@ def supported(claim: Column, context: Column) -> Column:
 def questions(answer: Column) -> Column:
     found = keywords(answer)
     topic = F.when(F.size(found) > 0, F.array_join(found, " ")).otherwise(F.lit("the provided answer"))
-    return F.array(*(F.concat(F.lit(QUESTIONS[i]), topic, F.lit(QUESTIONS[i + 1])) for i in (0, 2, 4)))
+    return F.array(*(F.format_string(q, topic) for q in QUESTIONS))
 
 
 def relevancy(query: Column, asked: Column) -> Column:
     """The mean cosine of the query with the questions, under the hashed embedding; 0 without questions."""
-    q = hash_embedding(tokens(query))
-    total = F.aggregate(F.transform(asked, lambda x: dot(q, hash_embedding(tokens(x)))), F.lit(0.0), lambda a, x: a + x)
-    return F.when(F.size(asked) > 0, total / F.size(asked)).otherwise(F.lit(0.0))
+    total = lambda q: F.aggregate(F.transform(asked, lambda x: dot(q, hash_embedding(tokens(x)))), F.lit(0.0), lambda a, x: a + x)
+    return F.when(F.size(asked) > 0, let(hash_embedding(tokens(query)), total) / F.size(asked)).otherwise(F.lit(0.0))
 
 
 def array_salvage(text: Column) -> Column:
@@ -99,6 +111,70 @@ def response_text(payload: Column) -> Column:
     return F.coalesce(at("$.generated_text"), at("$.choices[0].text"), filled(at("$.choices[0].message.content")), filled(at("$.choices[0].message.reasoning")), at("$[0].generated_text"), payload)
 
 
+@dataclass(frozen=True)
+class Judge:
+    """What an experiment asks of a judge, as functions of columns.
+
+    claims(answer): an array; verify(claim, context): (supported, reason), reading the first 800 characters; questions(answer, query): an array.
+    """
+
+    claims: Callable[[Column], Column]
+    verify: Callable[[Column, Column], Column]
+    questions: Callable[[Column, Column], Column]
+
+
+def lexical_judge(max_claims: int = 5) -> Judge:
+    """The judge without a model: sentences as claims, common terms as support, templated questions."""
+
+    def verify(claim: Column, context: Column) -> Column:
+        ok = supported(claim, context)
+        return F.struct(ok.alias("supported"), F.when(ok, REASONS[0]).otherwise(REASONS[1]).alias("reason"))
+
+    return Judge(lambda answer: claims(answer, max_claims), verify, lambda answer, _: questions(answer))
+
+
+def lexical_judge_urdu(max_claims: int = 5) -> Judge:
+    """The second judge without a model: it never finds support and asks the same three questions."""
+    verdict = F.struct(F.lit(False).alias("supported"), F.lit(REASON_UR).alias("reason"))
+    return Judge(lambda answer: claims(answer, max_claims, urdu=True), lambda claim, context: verdict, lambda answer, _: F.array(*map(F.lit, QUESTIONS_UR)))
+
+
+def model_judge(call: Callable[[Column, int], Column], fallback: Judge, max_claims: int = 5, urdu: bool = False) -> Judge:
+    """A judge by a model: call(prompt, max_tokens) gives its response, null where it fails (a pandas UDF, or a chain of them). Then the fallback judges."""
+    ask_claims, (head, middle), ask_questions = (ASK_CLAIMS_UR, ASK_VERDICT_UR, ASK_QUESTIONS_UR) if urdu else (ASK_CLAIMS, ASK_VERDICT, ASK_QUESTIONS)
+
+    def own_claims(answer: Column) -> Column:
+        raw = call(F.concat(F.lit(ask_claims), answer), 300)
+        found = F.coalesce(F.from_json(between(raw, "[", "]"), "array<string>"), F.array(prefix(answer, 200)))
+        return F.when(raw.isNull(), fallback.claims(answer)).otherwise(F.slice(found, 1, max_claims))
+
+    def verify(claim: Column, context: Column) -> Column:
+        raw = call(F.concat(F.lit(head), claim, F.lit(middle), prefix(context, 800)), 100)
+        return F.when(raw.isNull(), fallback.verify(claim, context)).otherwise(object_salvage(raw))
+
+    def own_questions(answer: Column, query: Column) -> Column:
+        raw = call(F.concat(F.lit(ask_questions), answer), 150)
+        found = F.slice(F.coalesce(F.from_json(between(raw, "[", "]"), "array<string>"), F.array(query)), 1, 3)
+        return F.when(raw.isNull(), fallback.questions(answer, query)).otherwise(F.slice(F.concat(found, F.array_repeat(query, 3)), 1, 3))
+
+    return Judge(own_claims, verify, own_questions)
+
+
+def between(text: Column, first: str, last: str) -> Column:
+    """The text from the first `first` to the last `last`."""
+    return F.regexp_extract(text, rf"(?s)\{first}.*\{last}", 0)
+
+
+def instructed(prompt: Column) -> Column:
+    """A prompt as instruction models take it."""
+    return F.concat(F.lit("[INST] "), prompt, F.lit(" [/INST]"))
+
+
+def chain(*steps: Callable[[Column], Column], last: Callable[[Column], Column] = heuristic_answer) -> Callable[[Column], Column]:
+    """A generator that tries each step in turn: a step takes the prompt and gives the answer, null where it fails; `last` never fails."""
+    return lambda prompt: F.coalesce(*(F.trim(step(prompt)) for step in steps), last(prompt))
+
+
 METRICS = ("faithfulness", "relevancy", "retrieval_s", "generation_s", "evaluation_s", "total_s")
 
 

@@ -187,7 +187,7 @@ def bm25_sql(docs: str, queries: str = "SELECT item_id AS query_id, text FROM be
 
 DOCS = "SELECT doc_id AS id, text FROM documents"
 JOBS = "SELECT conv_id*1000+turn AS id, text FROM conversations WHERE role='assistant'"
-SEM = """sem AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,9) DESC, id) AS rank FROM (SELECT item_id AS query_id, v.vec_id AS id, list_dot_product(qv.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score FROM benchmark JOIN embeddings qv ON qv.vec_id = item_id, embeddings v)) WHERE rank <= 20)"""
+SEM = """sem AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,9) DESC, id) AS rank FROM (SELECT item_id AS query_id, v.vec_id AS id, list_dot_product(qv.embedding::DOUBLE[], v.embedding::DOUBLE[])/(sqrt(list_dot_product(qv.embedding::DOUBLE[], qv.embedding::DOUBLE[]))*sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[]))) AS score FROM benchmark JOIN embeddings qv ON qv.vec_id = item_id, embeddings v)) WHERE rank <= 20)"""
 FUSED = """fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, sem_rank ASC NULLS LAST, lex_rank ASC NULLS LAST) AS fused_rank FROM (
  SELECT coalesce(s.query_id,l.query_id) AS query_id, coalesce(s.id,l.id) AS id, coalesce(s.score,0) AS semantic_score, coalesce(l.score,0) AS bm25_score, s.rank AS sem_rank, l.rank AS lex_rank,
  coalesce(1.0::DOUBLE/(60+s.rank),0)+coalesce(1.0::DOUBLE/(60+l.rank),0) AS rrf_score FROM sem s FULL OUTER JOIN lex l ON s.query_id=l.query_id AND s.id=l.id)))"""
@@ -236,12 +236,6 @@ def rrf_fusion(spark, sf):
     return fuse(spark, sf).select("query_id", "id", r6("semantic_score"), r6("bm25_score"), F.round("rrf_score", 9).alias("rrf_score"), "fused_rank")
 
 
-@query(f"{HYBRID} SELECT query_id, id, fused_rank AS final_rank FROM fused")
-def chunk_retrieve(spark, sf):
-    """The chunk retriever's fusion, which isn't cut."""
-    return fuse(spark, sf, None).select("query_id", "id", F.col("fused_rank").alias("final_rank"))
-
-
 def run(spark, sf, strategy):
     out = retrieval.retrieve(strategy, corpus(spark, sf), vectors(spark, sf), items(spark, sf), query_vectors(spark, sf))
     return out.select("query_id", "id", r6("semantic_score"), r6("bm25_score"), r6("rrf_score"), r6("cross_encoder_score"), "final_rank")
@@ -262,6 +256,35 @@ def hybrid_rrf_rerank(spark, sf):
     return run(spark, sf, "hybrid_rrf_ce")
 
 
+STRATEGY_SUMS = "count(DISTINCT query_id)::BIGINT AS n_queries, count(*)::BIGINT AS n_hits, round(avg(semantic_score),6) AS avg_semantic, round(avg(bm25_score),6) AS avg_bm25, round(avg(rrf_score),6) AS avg_rrf, round(avg(cross_encoder_score),6) AS avg_ce"
+
+
+@query(f"""{HYBRID}, {CE}, found AS (SELECT 'semantic_only' AS strategy, query_id, score AS semantic_score, 0::DOUBLE AS bm25_score, 0::DOUBLE AS rrf_score, 0::DOUBLE AS cross_encoder_score FROM sem WHERE rank<=5
+ UNION ALL SELECT 'hybrid_rrf', query_id, semantic_score, bm25_score, rrf_score, 0::DOUBLE FROM fused WHERE fused_rank<=5
+ UNION ALL SELECT 'hybrid_rrf_ce', query_id, semantic_score, bm25_score, rrf_score, cross_encoder_score FROM ce WHERE final_rank<=5) SELECT strategy, {STRATEGY_SUMS} FROM found GROUP BY strategy""")
+def strategy_ablation(spark, sf):
+    """The three strategies run over all queries, and what they find."""
+    found = None
+    for name in retrieval.STRATEGIES:
+        hits = retrieval.retrieve(name, corpus(spark, sf), vectors(spark, sf), items(spark, sf), query_vectors(spark, sf)).withColumn("strategy", F.lit(name))
+        found = hits if found is None else found.unionByName(hits)
+    mean = lambda c, n: F.round(F.avg(c), 6).alias(n)
+    return found.groupBy("strategy").agg(long(F.count_distinct("query_id"), "n_queries"), long(F.count("*"), "n_hits"), mean("semantic_score", "avg_semantic"), mean("bm25_score", "avg_bm25"), mean("rrf_score", "avg_rrf"), mean("cross_encoder_score", "avg_ce"))
+
+
+LIVE = "SELECT id, text FROM (SELECT doc_id AS id, text FROM documents WHERE doc_id NOT IN (SELECT conv_id*2 FROM conversations WHERE role='user') UNION ALL SELECT conv_id*2, text FROM (SELECT * FROM conversations WHERE role='user' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC)=1))"
+
+
+@query(f"WITH {bm25_sql(LIVE)} SELECT query_id, id, round(score,6) AS score, rank FROM lex")
+def bm25_index_topk(spark, sf):
+    """A stored index of all documents, extended by the live additions (some replace documents), opened again and asked."""
+    path = scratch(spark, "bm25")
+    new = table(spark, sf, "conversations").filter("role = 'user'").select((F.col("conv_id") * 2).alias("id"), "text", F.col("turn").alias("seq"))
+    retrieval.BM25Index(spark, path).add(corpus(spark, sf))
+    retrieval.BM25Index(spark, path).add(records.last_wins(new, "id", "seq"))
+    return retrieval.BM25Index(spark, path).topk(items(spark, sf)).select("query_id", "id", r6("score"), "rank")
+
+
 @query(f"{HYBRID}, {CE} SELECT query_id, id, fused_rank, md5(query) AS query, md5(text) AS text FROM pairs")
 def rerank_pairs(spark, sf):
     p = retrieval.rerank_pairs(fuse(spark, sf), items(spark, sf), corpus(spark, sf))
@@ -280,10 +303,10 @@ def enrich_results(spark, sf):
     return retrieval.enrich(hits, corpus(spark, sf)).select("query_id", "id", "rank", "original.lang", "original.source")
 
 
-@query(f"WITH {SEM} SELECT s.query_id, s.id, s.rank FROM sem s WHERE s.id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 = 0)")
+@query(f"WITH {SEM} SELECT s.query_id, s.id, s.rank FROM sem s WHERE s.id NOT IN (SELECT doc_id FROM documents)")
 def orphan_hits(spark, sf):
     hits = retrieval.semantic_topk(vectors(spark, sf), query_vectors(spark, sf))
-    return retrieval.orphan_hits(hits, corpus(spark, sf).filter("id % 3 = 0")).select("query_id", "id", "rank")
+    return retrieval.orphan_hits(hits, corpus(spark, sf)).select("query_id", "id", "rank")
 
 
 @query(f"WITH {bm25_sql(DOCS)} SELECT query_id, count(*)::BIGINT AS retrieval_count FROM lex GROUP BY query_id")
@@ -407,8 +430,12 @@ def nested_export_one(spark, sf):
 
 @query("SELECT '{\"o_orderkey\":' || o_orderkey || ',\"o_orderdate\":\"' || strftime(o_orderdate, '%Y-%m-%d') || '\",\"cents\":' || round(o_totalprice*100)::BIGINT || '}' AS value FROM orders")
 def nested_export_json(spark, sf):
-    o = table(spark, sf, "orders")
-    return o.select(F.to_json(F.struct("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))).alias("value"))
+    """Written as nested JSON and read again."""
+    from tessera.sources.files import write_nested_json
+
+    o, path = table(spark, sf, "orders"), scratch(spark, "nested")
+    write_nested_json(o.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents")), path)
+    return spark.read.text(path)
 
 
 @query("SELECT event_id, user_id, event_type, round(value,6) AS value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)=1")
@@ -529,7 +556,18 @@ def faithfulness_score(spark, sf):
 @query(rf"WITH {PAIRS} SELECT id, len((list_filter(list_transform(string_split_regex(answer, '[۔.!?]'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''))[1:3])::BIGINT AS n_claims, 0::DOUBLE AS faithfulness FROM pairs")
 def faithfulness_alt(spark, sf):
     """The second judge: claims are cut without their marks, and none is ever supported."""
-    return answered(spark, sf).select("id", long(F.size(evaluation.claims(F.col("answer"), urdu=True)), "n_claims"), F.lit(0.0).alias("faithfulness"))
+    judge = evaluation.lexical_judge_urdu()
+    each = answered(spark, sf).select("id", "query", F.posexplode(judge.claims(F.col("answer"))).alias("i", "claim"))
+    ok = judge.verify(F.col("claim"), F.col("query"))["supported"].cast("double")
+    found = each.groupBy("id").agg(F.count("*").alias("n_claims"), F.avg(ok).alias("faithfulness"))
+    return answered(spark, sf).select("id").join(found, "id", "left").select("id", F.coalesce("n_claims", F.lit(0)).alias("n_claims"), F.coalesce("faithfulness", F.lit(0.0)).alias("faithfulness"))
+
+
+@query(f"WITH {PAIRS}, {CLAIMS}, {SUPPORT} SELECT id, i::BIGINT AS i, supported, CASE WHEN supported THEN '{evaluation.REASONS[0]}' ELSE '{evaluation.REASONS[1]}' END AS reason FROM sup")
+def claim_verdict(spark, sf):
+    judge = evaluation.lexical_judge()
+    each = answered(spark, sf).select("id", "query", F.posexplode(judge.claims(F.col("answer"))).alias("i", "claim"))
+    return each.select("id", long(F.col("i") + 1, "i"), judge.verify(F.col("claim"), F.col("query")).alias("v")).select("id", "i", "v.supported", "v.reason")
 
 
 TOPIC = "coalesce(nullif(array_to_string((list_filter(regexp_extract_all({c}, '[a-zA-Z][a-zA-Z0-9_]+'), lambda x: length(x)>4))[1:3], ' '),''), 'the provided answer')"
@@ -595,7 +633,7 @@ def keyed(spark, sf):
 
 
 @query(f"{KEYED} SELECT strategy, ordinal::BIGINT AS ordinal, count::BIGINT AS count, " + ", ".join(f"avg_{m}" for m in evaluation.METRICS) + " FROM k")
-def strategy_ablation(spark, sf):
+def summary_in_order(spark, sf):
     return rounded(keyed(spark, sf))
 
 
@@ -627,17 +665,48 @@ def chunk_summary(spark, sf):
     return both.groupBy("chunking").agg(F.count("*").alias("chunk_count"))
 
 
-@query("WITH " + FIXED.format(i="doc_id", t="text", f="documents") + f", {bm25_sql('SELECT doc_id*10000+chunk_no AS id, c AS text FROM fixed')} SELECT 'fixed' AS chunking, query_id, id, rank FROM lex WHERE rank<=5")
+def hashed_sql(name: str, key: str, rows: str) -> str:
+    return f"""{name}0 AS (SELECT {key}, s, count(*)::DOUBLE AS n FROM (SELECT {key}, ('0x'||substr(md5(t),1,8))::BIGINT % 64 AS s FROM (SELECT {key}, unnest({TOKS}) AS t FROM {rows})) GROUP BY ALL),
+ {name} AS (SELECT {key}, s, n/sqrt(sum(n*n) OVER (PARTITION BY {key})) AS w FROM {name}0)"""
+
+
+def chunk_sql(chunks: str, corpus: str) -> str:
+    """The best five chunks of each query under the full strategy. corpus: (id, text) of the chunks, from the tables that `chunks` makes."""
+    sem = f"""{hashed_sql('cv', 'id', 'corpus')}, {hashed_sql('qv', 'query_id', 'qs')},
+ sem AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,9) DESC, id) AS rank FROM (SELECT qv.query_id, cv.id, sum(qv.w*cv.w) AS score FROM qv JOIN cv ON qv.s = cv.s GROUP BY ALL)) WHERE rank<=20)"""
+    return f"WITH RECURSIVE {chunks}, {bm25_sql(corpus)}, {sem}, {FUSED}, {CE.replace(' WHERE fused_rank<=20', '')} SELECT query_id, id, round(cross_encoder_score,6) AS cross_encoder_score, final_rank FROM ce WHERE final_rank<=5"
+
+
+FIXED_CHUNKS = chunk_sql(FIXED.format(i="doc_id", t="text", f="documents"), "SELECT doc_id || '_' || chunk_no AS id, c AS text FROM fixed")
+RECURSIVE_CHUNKS = chunk_sql(RECURSIVE, "SELECT doc_id || '_' || chunk_no AS id, arg_max(cur, n) AS text FROM pack GROUP BY doc_id, chunk_no")
+
+
+def chunks_found(spark, sf, method):
+    docs = corpus(spark, sf)
+    if method == "recursive":
+        docs = docs.withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
+    cut = chunking.chunk_dataset(docs, method).select("id", "text")
+    found = retrieval.chunk_retrieve(cut, items(spark, sf))
+    return found.select("query_id", "id", r6("cross_encoder_score"), "final_rank")
+
+
+@query(FIXED_CHUNKS)
+def chunk_retrieve(spark, sf):
+    """The chunk retriever over a table of fixed chunks: embedded, indexed, fused without a cut, reranked."""
+    return chunks_found(spark, sf, "fixed")
+
+
+@query(f"SELECT 'fixed' AS chunking, * FROM ({FIXED_CHUNKS}) UNION ALL SELECT 'recursive' AS chunking, * FROM ({RECURSIVE_CHUNKS})")
 def chunk_ablation(spark, sf):
-    """The best chunks of each query under one chunking; chunks are numbered doc_id * 10000 + n."""
-    c = chunking.chunk_dataset(corpus(spark, sf), "fixed").select((F.col("source_id") * 10000 + F.col("chunk_no")).alias("id"), "chunking", "text")
-    return retrieval.BM25(c).topk(items(spark, sf)).filter("rank <= 5").select(F.lit("fixed").alias("chunking"), "query_id", "id", "rank")
+    """Both chunkings under the full strategy. A chunk's id is its document's and its number."""
+    named = lambda m: chunks_found(spark, sf, m).select(F.lit(m).alias("chunking"), "*")
+    return named("fixed").unionByName(named("recursive"))
 
 
-@query(f"WITH {PAIRS}, {CLAIMS}, {SUPPORT}, f AS (SELECT id, avg(supported::INT::DOUBLE) AS faithfulness FROM sup GROUP BY id) SELECT count(*)::BIGINT AS count, round(avg(faithfulness),6) AS avg_faithfulness FROM f")
+@query(f"SELECT count(*)::BIGINT AS count, round(avg(faithfulness),5) AS avg_faithfulness, round(avg(relevancy),5) AS avg_relevancy FROM ({ORACLE_SQL['faithfulness_score']}) JOIN ({ORACLE_SQL['relevancy_score']}) USING (id)")
 def fixed_set_summary(spark, sf):
-    s = claimed(spark, sf).withColumn("ok", evaluation.supported(F.col("claim"), F.col("query")).cast("double"))
-    return s.groupBy("id").agg(F.avg("ok").alias("f")).agg(F.count("*").alias("count"), F.round(F.avg("f"), 6).alias("avg_faithfulness"))
+    both = faithfulness_score(spark, sf).join(relevancy_score(spark, sf), "id")
+    return both.agg(F.count("*").alias("count"), F.round(F.avg("faithfulness"), 5).alias("avg_faithfulness"), F.round(F.avg("relevancy"), 5).alias("avg_relevancy"))
 
 
 @query(f"WITH {PAIRS} SELECT id, replace(substring(answer,1,350), chr(10), ' ') AS excerpt FROM pairs ORDER BY id LIMIT 3")
@@ -665,9 +734,9 @@ def scan_csv_roundtrip(spark, sf):
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that driver and executors share; a temporary one only where spark.checkpoint.dir is unset."""
-    import tempfile
+    """A new path in the folder that driver and executors share."""
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/tessera-files/{uuid.uuid4().hex}-{tag}"
+    from tessera.sources.files import shared_folder
+
+    return f"{shared_folder(spark)}/tessera-files/{uuid.uuid4().hex}-{tag}"

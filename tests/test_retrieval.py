@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.operators import chunking, evaluation, experiments, records, retrieval, serialize
 from tessera.sources import files
-from tessera.streaming.live import stream_submissions
+from tessera.streaming.live import add_live, stream_submissions
 
 DOCS = [(1, "the cat sat on the mat"), (2, "the dog the dog barks"), (3, "a cat and a dog"), (4, "the cat sat on the mat"), (5, ""), (6, None)]
 
@@ -48,6 +48,47 @@ def test_bm25(spark, corpus):
     assert retrieval.BM25(corpus.limit(0)).topk(q).count() == 0
 
 
+def test_bm25_index(spark, tmp_path):
+    """Built, extended and opened again it scores as if built anew; half an addition is never seen."""
+    path = str(tmp_path / "index")
+    q = spark.createDataFrame([(1, "cat cat dog"), (2, "barks"), (3, "absent"), (4, "new")], "query_id long, text string")
+    docs = lambda rows: spark.createDataFrame(rows, "id long, text string")
+    index = retrieval.BM25Index(spark, path)
+    assert not index.exists()
+    with pytest.raises(ValueError, match="empty"):
+        index.topk(q)
+    index.add(docs(DOCS))
+    changes = [(2, "a new text"), (9, "cat dog"), (5, "the dog barks")]
+    for n, now in ((0, dict(DOCS)), (1, dict(DOCS) | dict(changes)), (2, dict(DOCS) | dict(changes) | {9: None})):
+        if n:
+            index.add(docs(changes if n == 1 else [(9, None)]))
+        (tmp_path / "index" / "stats" / "version=99").mkdir(exist_ok=True)
+        got = sorted((r["query_id"], r["id"], r["rank"], round(r["score"], 9)) for r in retrieval.BM25Index(spark, path).topk(q).collect())
+        want = sorted((r["query_id"], r["id"], r["rank"], round(r["score"], 9)) for r in retrieval.BM25(docs(list(now.items()))).topk(q).collect())
+        assert got == want and got
+    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in (1, 2, 9)], "id long, vec array<double>")
+    hits = retrieval.retrieve("hybrid_rrf", docs(DOCS).limit(0), v, q, spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, vec array<double>"), index=index)
+    assert hits.filter("bm25_score > 0").count() > 0
+    index.clear()
+    assert not index.exists()
+
+
+def test_orphans(spark):
+    hits = spark.createDataFrame([(1, 5), (1, 6), (2, 7), (2, None)], "query_id long, id long")
+    base = spark.createDataFrame([(5, "x"), (7, "y"), (7, "z")], "id long, text string")
+    assert {(r["query_id"], r["id"]) for r in retrieval.orphan_hits(hits, base).collect()} == {(1, 6), (2, None)}
+
+
+def test_hashed_vectors(spark):
+    rows = [(1, "a b a c"), (2, ""), (3, None), (4, "x " * 500 + "y")]
+    table = spark.createDataFrame(rows, "id long, text string")
+    want = {r["id"]: r["v"] for r in table.select("id", T.hash_embedding(T.tokens(F.coalesce("text", F.lit("")))).alias("v")).collect()}
+    got = {r["id"]: r["vec"] for r in retrieval.hash_vectors(table).collect()}
+    assert got.keys() == want.keys()
+    for i, v in want.items():
+        assert len(got[i]) == 64 and all(abs(a - b) < 1e-12 for a, b in zip(got[i], v))
+
+
 def test_fusion(spark):
     hit = "query_id long, id long, score double, rank long"
     s = spark.createDataFrame([(1, 10, 0.9, 1), (1, 11, 0.8, 2)], hit)
@@ -131,6 +172,87 @@ def test_answer_and_judge(spark):
     assert [r["o"] for r in got] == ["a", "b", "c", "d", "plain"]
 
 
+def test_judges(spark):
+    rows = spark.createDataFrame([("java spring boot experience", "we need java and spring", "Java expert. Knows spring boot! Third? Fourth."), ("", "x", "")], "query string, context string, answer string")
+    english, urdu = evaluation.lexical_judge(), evaluation.lexical_judge_urdu()
+    got = rows.select(english.claims(F.col("answer")).alias("c"), english.questions(F.col("answer"), F.col("query")).alias("q"), urdu.claims(F.col("answer")).alias("u"), urdu.questions(F.col("answer"), F.col("query")).alias("uq")).collect()
+    assert got[0]["c"] == ["Java expert.", "Knows spring boot!", "Third?"] and got[0]["u"] == ["Java expert", "Knows spring boot", "Third"]
+    assert got[0]["q"][0] == "What are the main points about expert Knows spring?" and got[0]["uq"] == list(evaluation.QUESTIONS_UR)
+    verdicts = rows.select(english.verify(F.lit("java spring"), F.col("context")).alias("v"), urdu.verify(F.lit("java spring"), F.col("context")).alias("w")).collect()
+    assert tuple(verdicts[0]["v"]) == (True, evaluation.REASONS[0]) and tuple(verdicts[1]["v"]) == (False, evaluation.REASONS[1])
+    assert tuple(verdicts[0]["w"]) == (False, evaluation.REASON_UR)
+
+
+def test_model_judge(spark):
+    """A model's answers are read leniently; where it fails, the fallback judges."""
+    replies = {"claims": 'Sure: ["one", "two", "three"] ok', "verdict": 'x {"supported": true, "reason": "r"}', "questions": '["q1"]'}
+
+    def model(prompt, max_tokens):
+        reply = F.when(prompt.startswith("Extract"), replies["claims"]).when(prompt.startswith("Is this"), replies["verdict"]).otherwise(replies["questions"])
+        return F.when(~prompt.contains("fails"), reply)
+
+    judge = evaluation.model_judge(model, evaluation.lexical_judge(), max_claims=2)
+    rows = spark.createDataFrame([(1, "some answer.", "q"), (2, "this fails. Really.", "q")], "k int, answer string, query string")
+    got = {r["k"]: r for r in rows.select("k", judge.claims(F.col("answer")).alias("c"), judge.verify(F.lit("java"), F.col("answer")).alias("v"), judge.questions(F.col("answer"), F.col("query")).alias("q")).collect()}
+    assert got[1]["c"] == ["one", "two"] and tuple(got[1]["v"]) == (True, "r") and got[1]["q"] == ["q1", "q", "q"]
+    assert got[2]["c"] == ["this fails.", "Really."] and got[2]["v"]["supported"] is False and got[2]["q"][0].startswith("What are the main points")
+
+
+def test_generation_chain(spark):
+    asked = []
+
+    def step(name, works):
+        def run(prompt):
+            asked.append(name)
+            return F.when(prompt.contains(works), F.concat(F.lit(f" {name}: "), prompt))
+
+        return run
+
+    generate = evaluation.chain(lambda p: step("first", "one")(evaluation.instructed(p)), step("second", "two"), last=lambda p: F.lit("last"))
+    rows = spark.createDataFrame([("one",), ("two",), ("three",)], "p string")
+    assert [r["a"] for r in rows.select(generate(F.col("p")).alias("a")).collect()] == ["first: [INST] one [/INST]", "second: two", "last"]
+
+
+def test_command_line(spark, tmp_path):
+    from tessera import cli
+
+    people = spark.createDataFrame([(str(i), f"title {i}", t or "") for i, t in DOCS], "id string, title string, text string")
+    people.write.json(str(tmp_path / "people"))
+    files.append_csv(people.withColumn("id", F.concat(F.lit("j"), "id")), str(tmp_path / "jobs"))
+    asked = [(f"r{i:02d}", "recruiter", f"cat dog {i}") for i in range(12)] + [(f"c{i:02d}", "candidate", "the mat") for i in range(9)] + [("x", "candidate", " ")]
+    spark.createDataFrame(asked, "query_id string, mode string, text string").write.json(str(tmp_path / "queries"))
+    out = str(tmp_path / "out")
+    doc = cli.main(["--candidates", str(tmp_path / "people"), "--jobs", str(tmp_path / "jobs"), "--queries", str(tmp_path / "queries"), "--retrieval-ablation-queries", "2", "--chunking-ablation-queries", "1", "--output-dir", out], spark)
+    assert doc["baseline_fixed_set"]["summary"]["count"] == 15 and [e["mode"] for e in doc["baseline_fixed_set"]["example_verifications"]] == ["recruiter"] * 3
+    assert {s["count"] for s in doc["ablation"]["retrieval"]["summary_by_strategy"].values()} == {2}
+    assert {s["count"] for s in doc["ablation"]["chunking"]["summary_by_chunking"].values()} == {1}
+    assert files.read_document(spark, f"{out}/experiment") == doc
+    assert spark.read.option("header", True).csv(f"{out}/ablation").count() == 5
+    text = "\n".join(r["value"] for r in spark.read.text(f"{out}/report").collect())
+    assert "upported: " in text and "exical overlap" in text
+    with pytest.raises(SystemExit):
+        cli.options(["--queries", "q", "--mode", "candidate"])
+
+
+def test_live_additions(spark, tmp_path):
+    """A submission is found at once by record, vector and words."""
+    table, index = files.VectorTable(spark, str(tmp_path / "v")), retrieval.BM25Index(spark, str(tmp_path / "i"))
+    table.create(2)
+    index.add(spark.createDataFrame([("a", "old words")], "id string, text string"))
+    rows = spark.createDataFrame([("b", 1, "fresh words"), ("a", 2, "newer"), ("a", 1, "older"), (None, 1, "nobody")], "id string, seq long, text string")
+    add_live(rows, lambda d: d.withColumn("values", F.array(F.lit(1.0), F.lit(2.0))), table, index, str(tmp_path / "records"))
+    assert {(r["id"], r["text"]) for r in table.read().collect()} == {("a", "newer"), ("b", "fresh words")}
+    q = spark.createDataFrame([(1, "fresh"), (2, "old"), (3, "newer")], "query_id long, text string")
+    assert {(r["query_id"], r["id"]) for r in index.scores(q).collect()} == {(1, "b"), (3, "a")}
+    assert files.read_jsonl(spark, str(tmp_path / "records"), "id string, seq long, text string").count() == 4
+    add_live(rows.limit(0), lambda d: d, table, index)
+    with pytest.raises(Exception, match="2 components"):
+        table.upsert(spark.createDataFrame([("c", 1, [1.0])], "id string, seq long, values array<double>"))
+    table.create(2)
+    with pytest.raises(ValueError, match="holds"):
+        table.create(3)
+
+
 def test_records(spark, tmp_path):
     ids = spark.createDataFrame([("USER_0007",), ("USER_x",), ("USER_",), ("USER_12345",), ("JOB_99999",)], "id string")
     assert ids.agg(records.next_id(F.col("id"), "USER_").alias("n")).first()["n"] == "USER_12346"
@@ -253,24 +375,32 @@ def test_entry(spark):
 
 @pytest.mark.parametrize("block", [1, 3, 4096])
 def test_semantic_topk_in_blocks(spark, block):
-    """Against brute force: ties by id, repeated ids, null, short and NaN vectors, fewer vectors than k, no queries."""
+    """Cosine against brute force: lengths of all kinds, ties by id, repeated ids, null, short, zero and non-finite vectors, fewer vectors than k, no queries."""
     import numpy as np
 
     rng = np.random.default_rng(6)
-    x = [*rng.normal(size=(40, 8)).round(2).tolist(), *[[1.0] * 8] * 30]
-    rows = [(f"v{i:03d}", v) for i, v in enumerate(x)] + [("v001", x[0]), ("n", None), ("s", [1.0]), ("h", [None] + [1.0] * 7), ("f", [float("nan")] * 8)]
+    x = [*rng.normal(size=(40, 8)).round(2).tolist(), *([float(1 + i % 3)] * 8 for i in range(30))]
+    rows = [(f"v{i:03d}", v) for i, v in enumerate(x)] + [("v001", x[0]), ("n", None), ("s", [1.0]), ("h", [None] + [1.0] * 7), ("f", [float("nan")] * 8), ("i", [float("inf")] * 8), ("z", [0.0] * 8), ("big", [1e30] + [2e30] * 7)]
     asked = [(1, x[0]), (2, x[-1]), (3, [0.0] * 8), (4, None), (5, x[3]), (6, [2.0])]
     vectors = spark.createDataFrame(rows, "id string, vec array<float>").repartition(5)
     queries = spark.createDataFrame(asked, "query_id int, vec array<float>")
-    single = lambda v: np.array(v, np.float32).astype(float)
+
+
+    def cosine(v, y):
+        v, y = (np.array(u, np.float32).astype(float) for u in (v, y))
+        return float(v @ y) / np.sqrt(float(v @ v)) / np.sqrt(float(y @ y))
+
     for k in (1, 7, 500):
         want = []
         for q, v in asked:
-            if v is not None:
-                hits = [(-round(float(single(v) @ single(y)), 9), i) for i, y in rows if y and None not in y and not np.isnan(y).any() and len(y) == len(v)]
+            if v is not None and any(v):
+                hits = [(-round(cosine(v, y), 9), i) for i, y in rows if y and None not in y and np.isfinite(y).all() and any(y) and len(y) == len(v)]
                 want += [(q, i, r + 1, round(-s, 6) + 0.0) for r, (s, i) in enumerate(sorted(hits)[:k])]
         out = retrieval.semantic_topk(vectors, queries, k, block)
         assert dict(out.dtypes) == {"query_id": "int", "id": "string", "score": "double", "rank": "bigint"}
         assert sorted((r["query_id"], r["id"], r["rank"], round(r["score"], 6) + 0.0) for r in out.collect()) == sorted(want)
+    two = spark.createDataFrame([(1, [10.0, 10.0]), (2, [1.0, 0.0])], "id long, vec array<double>")
+    one = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, vec array<double>")
+    assert [r["id"] for r in retrieval.semantic_topk(two, one).orderBy("rank").collect()] == [2, 1]
     assert retrieval.semantic_topk(vectors, queries.limit(0)).count() == 0
     assert retrieval.semantic_topk(vectors.limit(0), queries).count() == 0

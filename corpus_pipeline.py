@@ -45,7 +45,8 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     rows = SimHashDedup().groups(docs).filter("id is not null").groupBy("g", "id", "th").agg(F.count("*").alias("n"))
     rows = materialize(rows, "rows")
-    first = rows.groupBy("g").agg(F.min(F.struct("id", "th")).alias("first"))
+    # Both sides of the join are written tables, so that adaptive execution splits a large group.
+    first = materialize(rows.groupBy("g").agg(F.min(F.struct("id", "th")).alias("first")), "first")
     other = (F.col("id") != F.col("first.id")) | (F.col("th") != F.col("first.th"))
     marked = rows.join(first, "g").select("id", "th", "n", other.alias("other")).filter("other or n > 1")
     marked = materialize(marked, "marked")

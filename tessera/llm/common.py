@@ -2,34 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.files import shared_folder
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 #: The characters [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\f\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, only where that is unset, a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/tessera/{uuid.uuid4().hex[:12]}-{tag}"
+    return f"{shared_folder(spark)}/tessera/{uuid.uuid4().hex[:12]}-{tag}"
 
 
 def clean_scratch(spark: SparkSession) -> None:
     """Delete every scratch table below the shared folder; call it once results that read them are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tessera")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/tessera")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -34,10 +34,11 @@ def materialize(df: DataFrame, tag: str, partition_by: tuple[str, ...] = ()) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, tag: str, parts: int, key: str) -> DataFrame:
-    """df as a written table bucketed by key, so that a join on it leaves it where it is. Its name is gone from the catalog at once."""
+def bucketed(df: DataFrame, tag: str, parts: int, *keys: str, sort: bool = False) -> DataFrame:
+    """df as a written table bucketed by keys (and sorted by them), so that a join on them leaves it where it is. Its name is gone from the catalog at once."""
     spark, name = df.sparkSession, f"tessera_{tag}_{uuid.uuid4().hex[:16]}"
-    df.write.format("parquet").bucketBy(parts, key).option("path", scratch_path(spark, tag)).saveAsTable(name)
+    writer = df.write.format("parquet").bucketBy(parts, *keys)
+    (writer.sortBy(*keys) if sort else writer).option("path", scratch_path(spark, tag)).saveAsTable(name)
     out = spark.table(name)
     spark.sql(f"DROP TABLE {name}")
     return out

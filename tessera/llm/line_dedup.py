@@ -16,12 +16,12 @@ keeps its name, and the added one gets another underscore.
 
 from __future__ import annotations
 
-import uuid
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BLANKS, ascii_lower, fresh, key128, materialize, others, restore, scratch_path, width
+from tessera.llm.common import BLANKS, ascii_lower, bucketed, fresh, key128, materialize, others, restore, width
 
 
 def line_key(line: Column) -> Column:
@@ -29,38 +29,33 @@ def line_key(line: Column) -> Column:
 
 
 class LineRuns:
-    """The levelled runs of one key store. Each run is a table (h1, h2) bucketed and sorted by both."""
+    """The levelled runs of one key store. Each run is a table (h1, h2) bucketed and sorted by both, below the shared folder."""
 
-    def __init__(self, spark: SparkSession, root: str | None = None, fan_in: int = 4, buckets: int | None = None) -> None:
-        self.spark, self.root = spark, root or scratch_path(spark, "runs")
-        self.fan_in, self.buckets = fan_in, buckets or width(spark)
-        self.levels: list[list[str]] = []
+    def __init__(self, spark: SparkSession, fan_in: int = 3, buckets: int | None = None) -> None:
+        self.spark, self.fan_in, self.buckets = spark, fan_in, buckets or width(spark)
+        self.levels: list[list[DataFrame]] = []
 
-    def _write(self, keys: DataFrame) -> str:
-        name = f"tessera_run_{uuid.uuid4().hex[:16]}"
+    def _write(self, keys: DataFrame) -> DataFrame:
         rows = keys.select("h1", "h2").repartition(self.buckets, "h1", "h2")
-        rows.write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", f"{self.root}/{name}").saveAsTable(name)
-        return name
+        return bucketed(rows, "run", self.buckets, "h1", "h2", sort=True)
 
     def add(self, keys: DataFrame) -> None:
         """Add a batch's new keys as a run of level 0, then compact full levels."""
         self._place(0, self._write(keys))
 
-    def _place(self, level: int, run: str) -> None:
+    def _place(self, level: int, run: DataFrame) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(run)
         if len(self.levels[level]) >= self.fan_in:
-            full, self.levels[level] = self.levels[level], []
-            merged = self.spark.table(full[0])
-            for name in full[1:]:
-                merged = merged.unionAll(self.spark.table(name))
+            merged, *others = self.levels[level]
+            self.levels[level] = []
+            for other in others:
+                merged = merged.unionAll(other)
             self._place(level + 1, self._write(merged))
-            for name in full:
-                self.spark.sql(f"DROP TABLE {name}")
 
     def runs(self) -> list[DataFrame]:
-        return [self.spark.table(x) for level in self.levels for x in level]
+        return [run for level in self.levels for run in level]
 
     def mark_seen(self, keys: DataFrame) -> DataFrame:
         """keys (with h1, h2) plus seen: whether a run holds the key. The runs are disjoint: each key is in one at most."""
@@ -73,8 +68,9 @@ class LineRuns:
 
 
 class LineDedup:
-    def __init__(self, min_chars: int = 10, n_batches: int = 4, fan_in: int = 4, id_col: str = "doc_id", text_col: str = "text") -> None:
-        self.min_chars, self.n_batches, self.fan_in, self.id, self.text = min_chars, n_batches, fan_in, id_col, text_col
+    def __init__(self, min_chars: int = 10, n_batches: int | None = None, per_partition: int = 2000, fan_in: int = 3, id_col: str = "doc_id", text_col: str = "text") -> None:
+        """n_batches: by default a batch holds about per_partition documents for each shuffle partition."""
+        self.min_chars, self.n_batches, self.per_partition, self.fan_in, self.id, self.text = min_chars, n_batches, per_partition, fan_in, id_col, text_col
 
     def lines(self, docs: DataFrame) -> DataFrame:
         """(id, th, pos, h1, h2) of every line whose key counts; th tells rows of one id apart."""
@@ -84,21 +80,23 @@ class LineDedup:
         h1, h2 = key128(F.col("key"))
         return rows.select("id", "th", "pos", ascii_lower(F.col("line")).alias("key")).select("id", "th", "pos", h1.alias("h1"), h2.alias("h2"))
 
-    def apply_batch(self, lines: DataFrame, runs: LineRuns) -> DataFrame:
-        """(id, th, pos) of the lines of this batch that go; the batch's new keys are added to runs.
+    def apply_batch(self, lines: DataFrame, runs: LineRuns, add: bool = True) -> DataFrame:
+        """(id, th, pos) of the lines of this batch that go; the batch's new keys are added to runs, unless no batch follows (add).
 
         lines: a written table as lines() returns it; every id of it comes after those of earlier batches.
         """
         keys = lines.groupBy("h1", "h2").agg(F.min("id").alias("owner"), F.max("id").alias("last"))
         marked = materialize(runs.mark_seen(keys), "keys")
-        runs.add(marked.filter(~F.col("seen")))
+        if add:
+            runs.add(marked.filter(~F.col("seen")))
         shared = marked.filter(F.col("seen") | (F.col("owner") < F.col("last"))).select("h1", "h2", "owner", "seen")
         return lines.join(shared, ["h1", "h2"]).filter(F.col("seen") | (F.col("id") != F.col("owner"))).select("id", "th", "pos")
 
     def __call__(self, docs: DataFrame) -> DataFrame:
         """docs with the kept lines as text, plus _n_lines and _n_dropped (long), under the names that fresh() gives."""
         spark = docs.sparkSession
-        cuts = docs.agg(F.percentile_approx(self.id, [i / self.n_batches for i in range(1, self.n_batches)], 1000)).first()[0] or []
+        n = self.n_batches or max(1, ceil(docs.count() / (self.per_partition * width(spark))))
+        cuts = docs.agg(F.percentile_approx(self.id, [i / n for i in range(1, n)], 10_000)).first()[0] or [] if n > 1 else []
         cuts = sorted(set(cuts))
         batch = F.lit(0)
         for c in cuts:
@@ -107,7 +105,7 @@ class LineDedup:
         runs = LineRuns(spark, fan_in=self.fan_in)
         gone = None
         for b in range(len(cuts) + 1):
-            part = self.apply_batch(lines.filter(F.col("batch") == b).drop("batch"), runs)
+            part = self.apply_batch(lines.filter(F.col("batch") == b).drop("batch"), runs, b < len(cuts))
             gone = part if gone is None else gone.unionAll(part)
         gone = gone.groupBy("id", "th").agg(F.collect_list("pos").alias("gone"))
 

@@ -1,4 +1,4 @@
-"""Command line: the fixed set and both ablations over a corpus of records, written as a document, a CSV and a report.
+"""Command line: the fixed set and both ablations over a corpus of records, written as a document, a CSV and a report (Markdown and PDF).
 
     python -m tessera.cli --candidates resumes.jsonl --jobs jobs.csv --queries queries.jsonl --output-dir reports
 
@@ -18,6 +18,7 @@ from tessera.config import Config
 from tessera.operators import experiments
 from tessera.operators.retrieval import hash_vectors
 from tessera.sources import files
+from tessera.sources.pdf import write_pdf
 
 
 def options(args: list[str] | None = None) -> argparse.Namespace:
@@ -54,6 +55,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> di
     files.write_document(spark, document, f"{o.output_dir}/experiment")
     table = spark.createDataFrame(experiments.ablation_rows(document), list(experiments.CSV))
     table.coalesce(1).write.mode("overwrite").options(header=True, quote='"', escape='"').csv(f"{o.output_dir}/ablation")
+    write_pdf(spark, experiments.report(document), f"{o.output_dir}/report.pdf")
     spark.createDataFrame([(experiments.report(document),)], "value string").coalesce(1).write.mode("overwrite").text(f"{o.output_dir}/report")
     return document
 

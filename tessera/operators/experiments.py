@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from tessera.config import Config
 from tessera.operators import chunking, evaluation, retrieval
 
-# The columns of the CSV report.
+# Heads of the report's tables, columns of the CSV.
+HEADS = ("Faithfulness", "Relevancy", "Avg Retrieval (s)", "Avg Total (s)")
 CSV = ("Strategy", "Faithfulness", "Relevancy", "Avg Retrieval Time (s)", "Avg Total Time (s)")
 SUMMARY = ("count", *(f"avg_{m}" for m in evaluation.METRICS))
 CHUNKINGS = ("fixed", "recursive")
@@ -138,13 +139,12 @@ def report(document: dict) -> str:
         get = lambda k: s.get(f"avg_{k}", 0.0)
         return [f"{get('faithfulness') * 100:.1f}%", f"{get('relevancy') * 100:.1f}%", f"{get('retrieval_s'):.3f}", f"{get('total_s'):.3f}"]
 
-    heads = ("Faithfulness", "Relevancy", "Avg Retrieval (s)", "Avg Total (s)")
-    out = [f"# Experiment of {document.get('run_at', 'unknown time')}", "", "## Fixed set", "", line("Queries", *heads), "|---:" * 5 + "|", line(fixed.get("summary", {}).get("count", 0), *figures(fixed.get("summary", {})))]
-    out += ["", "## Retrieval", "", line("Strategy", *heads), "|---" + "|---:" * 4 + "|", *(line(evaluation.LABELS.get(k, k), *figures(s)) for k, s in strategies.items())]
+    out = [f"# Experiment of {document.get('run_at', 'unknown time')}", "", "## Fixed set", "", line("Queries", *HEADS), "|---:" * 5 + "|", line(fixed.get("summary", {}).get("count", 0), *figures(fixed.get("summary", {})))]
+    out += ["", "## Retrieval", "", line("Strategy", *HEADS), "|---" + "|---:" * 4 + "|", *(line(evaluation.LABELS.get(k, k), *figures(s)) for k, s in strategies.items())]
     if strategies:
         best = max(strategies, key=lambda k: round(strategies[k].get("avg_faithfulness", 0.0) + strategies[k].get("avg_relevancy", 0.0), 9))
         out += ["", f"Best: {evaluation.LABELS.get(best, best)}"]
-    out += ["", "## Chunking", "", line("Chunking", "Chunks", *heads), "|---" + "|---:" * 5 + "|", *(line(k.title(), s.get("chunk_count", 0), *figures(s)) for k, s in chunkings.items())]
+    out += ["", "## Chunking", "", line("Chunking", "Chunks", *HEADS), "|---" + "|---:" * 5 + "|", *(line(k.title(), s.get("chunk_count", 0), *figures(s)) for k, s in chunkings.items())]
     out += ["", "## Examples"]
     for e in fixed.get("example_verifications", [])[:3]:
         out += ["", f"**{e['query']}** ({e['mode']}; faithfulness {e['faithfulness'] * 100:.1f}%, relevancy {e['relevancy'] * 100:.1f}%)", "", e["answer"], ""]

@@ -230,6 +230,9 @@ def test_command_line(spark, tmp_path):
     assert spark.read.option("header", True).csv(f"{out}/ablation").count() == 5
     text = "\n".join(r["value"] for r in spark.read.text(f"{out}/report").collect())
     assert "upported: " in text and "exical overlap" in text
+    raw = (tmp_path / "out" / "report.pdf").read_bytes()
+    start = int(raw.split(b"startxref\n")[1].split()[0])
+    assert raw.startswith(b"%PDF-1.4") and raw[start : start + 4] == b"xref" and b"Fixed set" in raw
     with pytest.raises(SystemExit):
         cli.options(["--queries", "q", "--mode", "candidate"])
 
@@ -324,6 +327,19 @@ def test_files(spark, tmp_path):
         files.read_jsonl(spark, str(tmp_path / "j"), "k long").collect()
 
 
+def test_database(spark):
+    """Tables of a database read over JDBC, nested and written out."""
+    url = "jdbc:derby:memory:tessera;create=true"
+    rows = spark.createDataFrame([(1, "ann"), (2, "bob")], "id long, name string")
+    skills = spark.createDataFrame([(10, 1, "java"), (11, 1, "sql")], "n long, person long, skill string")
+    for name, table in (("PEOPLE", rows), ("SKILLS", skills)):
+        table.write.format("jdbc").options(url=url, dbtable=name, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver").mode("overwrite").save()
+    people, own = (files.read_table(spark, url, name, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver") for name in ("PEOPLE", "SKILLS"))
+    people, own = (d.toDF(*(c.lower() for c in d.columns)) for d in (people, own))
+    got = records.nest(people, own, "id", "person", "skills", (F.col("n"),), ("skill",)).orderBy("id").collect()
+    assert [(r["name"], [x["skill"] for x in r["skills"]]) for r in got] == [("ann", ["java", "sql"]), ("bob", [])]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     schema = "id string, seq long, name string, skills string"
     rows = [("a", 1, "n", "s"), ("b", 2, " ", "s"), ("a", 3, "m", "t")]

@@ -99,6 +99,26 @@ def blocks(batches: Iterator[pa.RecordBatch], tokenize: Callable[[bytes], list[b
         yield Block(part << 32 | k, ids, flags, parts, seen, buckets)
 
 
+def word_rows(x: Block, counted: bool, buckets: int) -> list[tuple]:
+    """(bucket, block, n, mark, payload) of a block's distinct words."""
+    if counted:
+        taken = np.repeat(np.array([bool(f) for f in x.flags]), x.lengths)
+        count = np.bincount(x.seq[taken], minlength=len(x.words))
+    order = np.argsort(x.bucket, kind="stable")
+    cuts = np.searchsorted(x.bucket[order], np.arange(buckets + 1))
+    rows = []
+    for j in np.flatnonzero(np.diff(cuts)).tolist():
+        at = order[cuts[j] : cuts[j + 1]]
+        parts = join_words([x.words[k] for k in at.tolist()])
+        rows.append((j, x.number, len(at), x.mark, pack(*parts, count[at].astype(np.uint32).tobytes()) if counted else pack(*parts)))
+    return rows
+
+
+def sequence_row(x: Block) -> pa.RecordBatch:
+    row = ((x.number, pa.int64()), (-1, pa.int32()), (len(x.words), pa.int32()), (x.mark, pa.int64()), (x.ids, pa.list_(pa.int64())), (x.flags, pa.list_(pa.bool_())), (x.lengths, pa.list_(pa.int32())), (pack(*planes(x.seq), *planes(x.bucket)), pa.binary()))
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in row], ["block", "bucket", "n", "mark", "ids", "flags", "lengths", "payload"])
+
+
 class BlockTable:
     """docs(id long, flag boolean, text string) cut into blocks. flag marks rows whose words count in words()."""
 
@@ -112,16 +132,7 @@ class BlockTable:
 
         def run(batches):
             for x in blocks(batches, tokenize, limit, buckets):
-                if counted:
-                    taken = np.repeat(np.array([bool(f) for f in x.flags]), x.lengths)
-                    count = np.bincount(x.seq[taken], minlength=len(x.words))
-                order = np.argsort(x.bucket, kind="stable")
-                cuts = np.searchsorted(x.bucket[order], np.arange(buckets + 1))
-                rows = []
-                for j in np.flatnonzero(np.diff(cuts)).tolist():
-                    at = order[cuts[j] : cuts[j + 1]]
-                    parts = join_words([x.words[k] for k in at.tolist()])
-                    rows.append((j, x.number, len(at), x.mark, pack(*parts, count[at].astype(np.uint32).tobytes()) if counted else pack(*parts)))
+                rows = word_rows(x, counted, buckets)
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["bucket", "block", "n", "mark", "payload"])
 
@@ -133,16 +144,29 @@ class BlockTable:
 
         def run(batches):
             for x in blocks(batches, tokenize, limit, buckets):
-                payload = pack(*planes(x.seq), *planes(x.bucket))
-                row = ((x.number, pa.int64()), (-1, pa.int32()), (len(x.words), pa.int32()), (x.mark, pa.int64()), (x.ids, pa.list_(pa.int64())), (x.flags, pa.list_(pa.bool_())), (x.lengths, pa.list_(pa.int32())), (payload, pa.binary()))
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in row], ["block", "bucket", "n", "mark", "ids", "flags", "lengths", "payload"])
+                yield sequence_row(x)
 
         return self.docs.mapInArrow(frugal(run), SEQS)
 
-    def assemble(self, answers: DataFrame, finish: Callable, schema: str, width: int, numbered: bool = False) -> DataFrame:
-        """answers(block, bucket, n, mark, payload) meet their block. finish(ids, flags, lengths, seq, per_bucket) yields batches; per_bucket: (ranks of the bucket's words, payload). numbered: the block's number comes first."""
+    def stored(self) -> DataFrame:
+        """The rows of words(True) and of sequences() from one read of the documents: a written table."""
+        tokenize, limit, buckets = self.tokenize, self.max_tokens, self.buckets
+
+        def run(batches):
+            for x in blocks(batches, tokenize, limit, buckets):
+                yield sequence_row(x)
+                rows = word_rows(x, True, buckets)
+                if rows:
+                    bucket, block, n, mark, payload = zip(*rows)
+                    empty = [pa.nulls(len(rows), pa.list_(t)) for t in (pa.int64(), pa.bool_(), pa.int32())]
+                    yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(bucket, pa.int32()), pa.array(n, pa.int32()), pa.array(mark, pa.int64()), *empty, pa.array(payload, pa.binary())], ["block", "bucket", "n", "mark", "ids", "flags", "lengths", "payload"])
+
+        return materialize(self.docs.mapInArrow(frugal(run), SEQS), "blocks")
+
+    def assemble(self, answers: DataFrame, finish: Callable, schema: str, width: int, numbered: bool = False, sequences: DataFrame | None = None) -> DataFrame:
+        """answers(block, bucket, n, mark, payload) meet their block. finish(ids, flags, lengths, seq, per_bucket) yields batches; per_bucket: (ranks of the bucket's words, payload). numbered: the block's number comes first. sequences: their rows, where they are stored."""
         empty = [F.lit(None).cast(t).alias(c) for c, t in (("ids", "array<long>"), ("flags", "array<boolean>"), ("lengths", "array<int>"))]
-        both = self.sequences().unionByName(answers.select("block", "bucket", "n", "mark", *empty, "payload"))
+        both = (sequences or self.sequences()).unionByName(answers.select("block", "bucket", "n", "mark", *empty, "payload"))
         both = both.repartition(width, "block").sortWithinPartitions("block", "bucket")
 
         def close(head, rest):

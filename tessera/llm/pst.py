@@ -35,7 +35,9 @@ from tessera.llm.common import bucketed, crc_mod, frugal, materialize, width
 #: Numbers of tokens; words follow. A string of two fits 62 bits.
 END, START, FIRST, BITS = 0, 1, 2, 31
 MASK = (1 << BITS) - 1
-ROWS = "block long, bucket int, payload binary"
+ROWS = "kind int, block long, bucket int, payload binary"
+#: Kinds of rows: strings and contexts that blocks send, and what goes back for them; what a bucket found.
+STRING, CONTEXT, FOUND = 0, 1, 2
 
 
 def tokenize(text: bytes) -> list[bytes]:
@@ -53,11 +55,10 @@ def dealt(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
 
-def to_buckets(block: int, bucket: np.ndarray, buckets: int, payload) -> pa.RecordBatch:
+def to_buckets(kind: int, block: int, bucket: np.ndarray, buckets: int, payload) -> list[tuple]:
     """A row for each bucket; payload(at): the parts that the places `at` send."""
     order, cuts = dealt(bucket, buckets)
-    rows = [(block, j, pack(*payload(order[cuts[j] : cuts[j + 1]]))) for j in np.flatnonzero(np.diff(cuts)).tolist()]
-    return row_batch(rows)
+    return [(kind, block, j, pack(*payload(order[cuts[j] : cuts[j + 1]]))) for j in np.flatnonzero(np.diff(cuts)).tolist()]
 
 
 def from_buckets(answers: list[dict] | None, bucket: np.ndarray, buckets: int, width: int = 1) -> list[np.ndarray]:
@@ -76,7 +77,7 @@ def from_buckets(answers: list[dict] | None, bucket: np.ndarray, buckets: int, w
 
 
 def row_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], ["block", "bucket", "payload"])
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.binary()))], ["kind", "block", "bucket", "payload"])
 
 
 def by_bucket(batches, close):
@@ -139,15 +140,13 @@ class Strings:
         self.of_context = inverse - none
 
     def sent(self, block: int, buckets: int) -> pa.RecordBatch:
-        return to_buckets(block, bucket_of(self.context, self.symbol, buckets), buckets, lambda at: [*wide(np.diff(self.context[at], prepend=0)), *planes(self.symbol[at]), *planes(self.n[at])])
+        strings = to_buckets(STRING, block, bucket_of(self.context, self.symbol, buckets), buckets, lambda at: [*wide(np.diff(self.context[at], prepend=0)), *planes(self.symbol[at]), *planes(self.n[at])])
+        return row_batch(strings + to_buckets(CONTEXT, block, bucket_of(self.contexts, 0, buckets), buckets, lambda at: wide(np.diff(self.contexts[at], prepend=0))))
 
     def counts(self, answers: list[dict] | None, buckets: int) -> np.ndarray:
         """Of each token's string the training count, 0 if it is no candidate."""
         return valued(self.of_string, from_buckets(answers, bucket_of(self.context, self.symbol, buckets), buckets)[0])
 
-    def asked(self, block: int, buckets: int) -> pa.RecordBatch:
-        return to_buckets(block, bucket_of(self.contexts, 0, buckets), buckets, lambda at: wide(np.diff(self.contexts[at], prepend=0)))
-
     def listed(self, answers: list[dict] | None, buckets: int) -> tuple[np.ndarray, np.ndarray]:
         """Of each token's context how many occurrences its candidates have, and how many they are; 0 if it isn't retained."""
         total, size = from_buckets(answers, bucket_of(self.contexts, 0, buckets), buckets, 2)
@@ -159,7 +158,7 @@ def valued(at: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 class SuffixTreeLM:
-    def __init__(self, min_count: int = 4, depth: int = 2, gain: float = 3.0, discount: float = 0.5, max_tokens: int = 1_000_000) -> None:
+    def __init__(self, min_count: int = 4, depth: int = 2, gain: float = 3.0, discount: float = 0.5, max_tokens: int = 700_000) -> None:
         if not 1 <= depth <= 2:
             raise ValueError("contexts have one or two tokens")
         self.min_count, self.depth, self.gain, self.discount, self.max_tokens = max(1, min_count), depth, gain, discount, max_tokens
@@ -206,7 +205,7 @@ class SuffixTreeLM:
 
         return totals.select("bucket", "payload").mapInArrow(frugal(run), "w long, c long")
 
-    def code(self, table: BlockTable, answers: DataFrame, parts: int) -> DataFrame:
+    def code(self, table: BlockTable, sequences: DataFrame, answers: DataFrame, parts: int) -> DataFrame:
         """The blocks with numbers and counts of their words: a table bucketed by block, so that later answers move and it doesn't."""
 
         def finish(number, ids, flags, lengths, seq, per):
@@ -219,7 +218,7 @@ class SuffixTreeLM:
             yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in row], ["block", "ids", "flags", "lengths", "payload"])
 
         schema = "block long, ids array<long>, flags array<boolean>, lengths array<int>, payload binary"
-        return bucketed(table.assemble(answers, finish, schema, parts, numbered=True), "blocks", parts, "block")
+        return bucketed(table.assemble(answers, finish, schema, parts, numbered=True, sequences=sequences), "blocks", parts, "block")
 
     def of_blocks(self, blocks: DataFrame, n_docs: int, use, schema: str) -> DataFrame:
         """use(row, x) yields batches for each block: its row, with the answers that are joined to it, and its tokens."""
@@ -233,31 +232,29 @@ class SuffixTreeLM:
         return blocks.mapInArrow(frugal(run), schema)
 
     def counted(self, sent: DataFrame, parts: int) -> DataFrame:
-        """Rows of two kinds, a written table. block -1, a row per bucket: its candidates, which have at least min_count occurrences. Others, a row per block and bucket: of each string the count, 0 if it is none."""
+        """A written table: FOUND, a row per bucket with its candidates, which have at least min_count occurrences; STRING, a row per block and bucket
+        with the count of each string, 0 if it is none; and the CONTEXT rows as they came.
+        """
         least = self.min_count
 
         def close(bucket, rows):
-            context, symbol, n = (np.concatenate(x) for x in zip(*(strings_in(r["payload"]) for r in rows)))
-            own, inverse = np.unique(context, return_inverse=True)
-            key, place = np.unique(inverse.astype(np.int64) << BITS | symbol, return_inverse=True)
-            total = np.bincount(place, weights=n, minlength=len(key)).astype(np.int64)  # exact below 2^53
-            keep = total >= least
-            found = own[key[keep] >> BITS], key[keep] & MASK, total[keep]
-            out = [(-1, bucket, pack(*(x for f in found for x in wide(f))))]
-            answer, at = np.where(keep, total, 0)[place], 0
-            for r in rows:
-                size = r["size"]
-                out.append((r["block"], bucket, pack(*wide(answer[at : at + size]))))
-                at += size
+            out = [(CONTEXT, r["block"], bucket, r["payload"]) for r in rows if r["kind"] == CONTEXT]
+            rows = [(r["block"], strings_in(r["payload"])) for r in rows if r["kind"] == STRING]
+            if rows:
+                context, symbol, n = (np.concatenate([x[k] for _, x in rows]) for k in range(3))
+                own, inverse = np.unique(context, return_inverse=True)
+                key, place = np.unique(inverse.astype(np.int64) << BITS | symbol, return_inverse=True)
+                total = np.bincount(place, weights=n, minlength=len(key)).astype(np.int64)  # exact below 2^53
+                keep = total >= least
+                found = own[key[keep] >> BITS], key[keep] & MASK, total[keep]
+                out.append((FOUND, -1, bucket, pack(*(x for f in found for x in wide(f)))))
+                answer, at = np.where(keep, total, 0)[place], 0
+                for block, (x, *_) in rows:
+                    out.append((STRING, block, bucket, pack(*wide(answer[at : at + len(x)]))))
+                    at += len(x)
             yield row_batch(out)
 
-        def run(batches):
-            def sized(rows):
-                return [r | {"size": len(unpack(r["payload"])[0])} for r in rows]
-
-            yield from by_bucket(batches, lambda bucket, rows: close(bucket, sized(rows)))
-
-        return materialize(sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(frugal(run), ROWS), "counted")
+        return materialize(sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(frugal(lambda batches: by_bucket(batches, close)), ROWS), "counted")
 
     def candidates(self, counted: DataFrame) -> DataFrame:
         """(context, symbol, n)"""
@@ -268,7 +265,7 @@ class SuffixTreeLM:
                     p = unpack(payload.as_py())
                     yield pa.RecordBatch.from_arrays([pa.array(unwide(p[8 * k : 8 * k + 8])) for k in range(3)], ["context", "symbol", "n"])
 
-        return materialize(counted.filter("block < 0").select("payload").mapInArrow(frugal(run), "context long, symbol long, n long"), "candidates")
+        return materialize(counted.filter(F.col("kind") == FOUND).select("payload").mapInArrow(frugal(run), "context long, symbol long, n long"), "candidates")
 
     def tested(self, strings: DataFrame) -> DataFrame:
         """strings(context, symbol, n, total, lower: the suffix's probability) -> the contexts that are retained: (context, listed, size, passed)."""
@@ -277,19 +274,19 @@ class SuffixTreeLM:
         passed = 1 - (F.col("listed") - self.discount * F.col("size")) / F.col("total")
         return materialize(sums.filter(F.col("won") >= self.gain * F.col("size")).select("context", "listed", "size", passed.alias("passed")), "contexts")
 
-    def told(self, asked: DataFrame, kept: DataFrame, buckets: int, parts: int) -> DataFrame:
-        """Rows (block, bucket, payload): of each context that a block asks for how many occurrences its candidates have, and how many they are, or 0."""
+    def told(self, counted: DataFrame, kept: DataFrame, buckets: int, parts: int) -> DataFrame:
+        """CONTEXT rows: of each context that a block asks for how many occurrences its candidates have, and how many they are, or 0."""
         rows = kept.select("context", "listed", "size", bucket_of(F.col("context"), F.lit(0), F.lit(buckets)).cast("int").alias("bucket"))
 
         def packed(batches):
             def close(bucket, rows):
                 x = [np.array([r[c] for r in rows], np.int64) for c in ("context", "listed", "size")]
-                yield row_batch([(-1, bucket, pack(*wide(np.diff(x[0], prepend=0)), *wide(x[1]), *wide(x[2])))])
+                yield row_batch([(FOUND, -1, bucket, pack(*wide(np.diff(x[0], prepend=0)), *wide(x[1]), *wide(x[2])))])
 
             yield from by_bucket(batches, close)
 
         tree = rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "context").mapInArrow(frugal(packed), ROWS)
-        both = tree.unionByName(asked).repartition(parts, "bucket").sortWithinPartitions("bucket", "block")
+        both = tree.unionByName(counted.filter(F.col("kind") == CONTEXT)).repartition(parts, "bucket").sortWithinPartitions("bucket", "block")
 
         def run(batches):
             known, bucket = None, None
@@ -306,7 +303,7 @@ class SuffixTreeLM:
                         at = np.minimum(np.searchsorted(known[0], context), len(known[0]) - 1)
                         hit = known[0][at] == context
                         answer[0, hit], answer[1, hit] = known[1][at[hit]], known[2][at[hit]]
-                    out.append((row["block"], row["bucket"], pack(*wide(answer[0]), *wide(answer[1]))))
+                    out.append((CONTEXT, row["block"], row["bucket"], pack(*wide(answer[0]), *wide(answer[1]))))
                 if out:
                     yield row_batch(out)
 
@@ -314,7 +311,7 @@ class SuffixTreeLM:
 
     def back(self, rows: DataFrame, name: str, parts: int) -> DataFrame:
         """Answers as (of, name): a list for each block; a table that lies like the blocks."""
-        lists = rows.filter("block >= 0").repartition(parts, "block").groupBy(F.col("block").alias("of")).agg(F.collect_list(F.struct("bucket", "payload")).alias(name))
+        lists = rows.repartition(parts, "block").groupBy(F.col("block").alias("of")).agg(F.collect_list(F.struct("bucket", "payload")).alias(name))
         return bucketed(lists, name, parts, "of")
 
     def __call__(self, docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -325,12 +322,13 @@ class SuffixTreeLM:
         rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(train, F.lit(False)).alias("flag"), F.col(text_col).cast("string").alias("text"))
         n_docs = rows.filter("flag").count()
         table = BlockTable(rows, tokenize, self.max_tokens, buckets)
-        numbered = self.numbered(table.words(True), buckets, parts)
+        stored = table.stored()
+        numbered = self.numbered(stored.filter("bucket >= 0").select("bucket", "block", "n", "mark", "payload"), buckets, parts)
         totals = numbered.filter("block < 0")
         tokens, distinct, once, twice = (x or 0 for x in totals.agg(*(F.sum(c) for c in ("tokens", "known", "once", "twice"))).first())
         tokens, distinct = tokens + n_docs, distinct + (n_docs > 0)
         off = min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.5
-        blocks = self.code(table, numbered.filter("block >= 0"), parts)
+        blocks = self.code(table, stored.filter("bucket < 0"), numbered.filter("block >= 0"), parts)
 
         def with_answers(df: DataFrame, answers: DataFrame) -> DataFrame:
             return df.hint("merge").join(answers.hint("merge"), df["block"] == answers["of"], "left").drop("of")
@@ -339,25 +337,28 @@ class SuffixTreeLM:
         ends = spark.range(1).select(F.explode(F.array(F.lit(END).cast("long"), F.lit(START).cast("long"))).alias("w"), F.lit(n_docs).cast("long").alias("c"))
         counts = materialize(self.numbers(totals, buckets).unionByName(ends), "counts")
         first = lambda x: Strings(x.before[0], x.symbol, x.counted)
-        counted = self.counted(self.of_blocks(blocks, n_docs, lambda row, x: [first(x).sent(row["block"], buckets)], ROWS), parts)
+        counted = self.counted(self.of_blocks(blocks.drop("ids"), n_docs, lambda row, x: [first(x).sent(row["block"], buckets)], ROWS), parts)
         found = self.candidates(counted)
         strings = found.join(counts.select(F.col("w").alias("symbol"), ((F.col("c") - off) / max(1, tokens)).alias("lower")), "symbol").join(counts.select(F.col("w").alias("context"), F.col("c").alias("total")), "context")
         strings = materialize(strings.select("context", "symbol", "n", "total", "lower"), "strings")
         kept = self.tested(strings)
-        asked = self.of_blocks(blocks, n_docs, lambda row, x: [first(x).asked(row["block"], buckets)], ROWS)
-        blocks = with_answers(blocks, self.back(counted, "n1", parts))
-        blocks = with_answers(blocks, self.back(self.told(asked, kept, buckets, parts), "c1", parts))
+        strings_of = F.col("kind") == STRING
+        blocks = with_answers(blocks, self.back(counted.filter(strings_of), "n1", parts))
+        blocks = with_answers(blocks, self.back(self.told(counted, kept, buckets, parts), "c1", parts))
         if self.depth == 2:  # of three: the context is two numbers, its suffix the later one
-            second = lambda row, x: deeper(x, first(x), row, buckets)
-            counted = self.counted(self.of_blocks(blocks, n_docs, lambda row, x: [second(row, x).sent(row["block"], buckets)], ROWS), parts)
+
+            def second(row, x):
+                own = first(x)
+                yield deeper(x, own.counts(row["n1"], buckets), own.listed(row["c1"], buckets)).sent(row["block"], buckets)
+
+            counted = self.counted(self.of_blocks(blocks.drop("ids"), n_docs, second, ROWS), parts)
             share = (F.col("n") - self.discount) / F.col("total")
             entries = strings.join(kept.select("context", "passed"), "context").select(F.col("context").alias("b"), "symbol", (share + F.col("passed") * F.col("lower")).alias("lower"))
             triples = self.candidates(counted).withColumns({"a": F.shiftright("context", BITS), "b": F.col("context").bitwiseAND(F.lit(MASK).cast("long"))})
             triples = triples.join(entries, ["b", "symbol"]).join(found.select(F.col("context").alias("a"), F.col("symbol").alias("b"), F.col("n").alias("total")), ["a", "b"])
             kept = self.tested(triples.select("context", "symbol", "n", "total", "lower"))
-            asked = self.of_blocks(blocks, n_docs, lambda row, x: [second(row, x).asked(row["block"], buckets)], ROWS)
-            blocks = with_answers(blocks, self.back(counted, "n2", parts))
-            blocks = with_answers(blocks, self.back(self.told(asked, kept, buckets, parts), "c2", parts))
+            blocks = with_answers(blocks, self.back(counted.filter(strings_of), "n2", parts))
+            blocks = with_answers(blocks, self.back(self.told(counted, kept, buckets, parts), "c2", parts))
         room, depth, discount = tokens + distinct + 1, self.depth, self.discount
 
         def scored(row, x):
@@ -365,9 +366,10 @@ class SuffixTreeLM:
             p = np.where(x.count > 0, x.count - off, off * distinct) / tokens if tokens else np.ones(len(x.count))
             own = first(x)
             n = own.counts(row["n1"], buckets)
-            p = descended(p, n, x.count_before, *own.listed(row["c1"], buckets), discount)
+            listed = own.listed(row["c1"], buckets)
+            p = descended(p, n, x.count_before, *listed, discount)
             if depth == 2:
-                second = deeper(x, own, row, buckets)
+                second = deeper(x, n, listed)
                 p = descended(p, second.counts(row["n2"], buckets), earlier(x, n), *second.listed(row["c2"], buckets), discount)
             total = lambda y: np.bincount(x.doc, y, minlength=size)
             cols = [pa.array(row["ids"], pa.int64()), pa.array(row["flags"], pa.bool_()), pa.array(np.array(row["lengths"], np.int64) + 1), pa.array(total(x.count > 0).astype(np.int64)), pa.array(np.full(size, tokens, np.int64)), pa.array(total(np.log10((x.count + 1) / room))), pa.array(total(np.log10(p)))]
@@ -393,11 +395,10 @@ def earlier(x: Coded, n: np.ndarray) -> np.ndarray:
     return np.where(np.diff(x.doc, prepend=-1) == 0, np.roll(n, 1), 0)
 
 
-def deeper(x: Coded, first: Strings, row: dict, buckets: int) -> Strings:
+def deeper(x: Coded, n: np.ndarray, listed: tuple[np.ndarray, np.ndarray]) -> Strings:
     """The strings of three tokens whose parts are candidates: the context, -1 unless it is one and its suffix is retained, and the symbols that the suffix lists."""
-    n = first.counts(row["n1"], buckets)
     a, b = x.before[1], x.before[0]
-    ok = (a >= 0) & (b >= 0) & (earlier(x, n) > 0) & (first.listed(row["c1"], buckets)[1] > 0)
+    ok = (a >= 0) & (b >= 0) & (earlier(x, n) > 0) & (listed[1] > 0)
     return Strings(np.where(ok, a << BITS | b, -1), np.where(n > 0, x.symbol, -1), x.counted)
 
 

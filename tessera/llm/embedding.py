@@ -56,12 +56,13 @@ def whole_units(batches, names: tuple[str, ...]):
 
 
 class EmbeddingDedup:
-    def __init__(self, threshold: float = 0.9, w: float = 2.5, miss: float = 0.005, bucket: int = 512, max_unit: int = 4096, bits: int = 192, slack: float = 3.5, seed: int = 17, id_col: str = "vec_id", vec_col: str = "embedding") -> None:
+    def __init__(self, threshold: float = 0.9, w: float = 2.5, miss: float = 0.005, bucket: int = 1024, max_unit: int = 4096, bits: int = 192, slack: float = 3.5, seed: int = 17, id_col: str = "vec_id", vec_col: str = "embedding") -> None:
         if bits % 64:
             raise ValueError("bits must be a multiple of 64")
         self.threshold, self.w, self.miss, self.bucket, self.max_unit, self.seed, self.id, self.vec = threshold, w, miss, bucket, max_unit, seed, id_col, vec_col
         self.bits, q = bits, acos(threshold) / pi
         self.near = int(bits * q + slack * sqrt(bits * q * (1 - q)))  # bits that candidates may differ in
+        self.near_first = int(64 * q + (slack + 1) * sqrt(64 * q * (1 - q)))  # and among the first 64 of them
         self.code = [f"s{n}" for n in range(bits // 64)]
 
     def plan(self, n: int) -> tuple[int, int]:
@@ -105,13 +106,16 @@ class EmbeddingDedup:
 
     def candidates(self, units: DataFrame) -> DataFrame:
         """units(unit, rep, code), all rows of a unit in one partition and together, by rep -> edges (a, b) of a spanning forest of each unit."""
-        code, least = self.code, self.bits - 2 * self.near
+        code, near, near_first = self.code, self.near, self.near_first
 
-        def unit(rep, signs):
-            pairs = []
+        def unit(rep, words):
+            """words: the code, 64 bits a column. The first word rules out nearly all pairs."""
+            first, pairs = words[:, 0].copy(), []
             for s in range(0, len(rep), 512):
-                x, y = np.nonzero(signs[s : s + 512] @ signs[s:].T >= least)
+                x, y = np.nonzero(np.bitwise_count(first[s : s + 512, None] ^ first[None, s:]) <= near_first)
                 x, y = x[x < y] + s, y[x < y] + s
+                ok = np.bitwise_count(words[x] ^ words[y]).sum(axis=1) <= near
+                x, y = x[ok], y[ok]
                 if len(x):
                     label = forest(len(rep), *(np.concatenate([p[q] for p in [*pairs, (x, y)]]) for q in (0, 1)))
                     k = np.flatnonzero(label != np.arange(len(rep)))
@@ -121,13 +125,12 @@ class EmbeddingDedup:
         def run(batches):
             for rows in whole_units(batches, ("unit",)):
                 u, rep = rows.column("unit").to_numpy(), rows.column("rep").to_numpy()
-                words = np.stack([rows.column(c).to_numpy() for c in code], axis=1)
+                words = np.stack([rows.column(c).to_numpy() for c in code], axis=1).view(np.uint64)
                 head = np.flatnonzero(np.append(True, u[1:] != u[:-1]))
                 out = []
                 for s, e in zip(head.tolist(), np.append(head[1:], len(u)).tolist()):
                     if e - s > 1:
-                        signs = np.unpackbits(words[s:e].view(np.uint8), axis=1).astype(np.float32) * 2 - 1
-                        got = unit(rep[s:e], signs)
+                        got = unit(rep[s:e], words[s:e])
                         if got:
                             out.append(got)
                 if out:

@@ -99,6 +99,12 @@ def blocks(batches: Iterator[pa.RecordBatch], tokenize: Callable[[bytes], list[b
         yield Block(part << 32 | k, ids, flags, parts, seen, buckets)
 
 
+def bucket_count(docs: DataFrame, each: int = 16 << 20, least: int = 64) -> int:
+    """A bucket for each 16 MB of the files that docs reads, so that a bucket's words fit a worker and a block's share of it isn't a few words."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, min(size // each, 1 << 16))
+
+
 def word_rows(x: Block, counted: bool, buckets: int) -> list[tuple]:
     """(bucket, block, n, mark, payload) of a block's distinct words."""
     if counted:
@@ -122,9 +128,9 @@ def sequence_row(x: Block) -> pa.RecordBatch:
 class BlockTable:
     """docs(id long, flag boolean, text string) cut into blocks. flag marks rows whose words count in words()."""
 
-    def __init__(self, docs: DataFrame, tokenize: Callable[[bytes], list[bytes]], max_tokens: int, buckets: int) -> None:
+    def __init__(self, docs: DataFrame, tokenize: Callable[[bytes], list[bytes]], max_tokens: int) -> None:
         self.docs = docs if is_plain_scan(docs) else materialize(docs, "docs")
-        self.tokenize, self.max_tokens, self.buckets = tokenize, max_tokens, buckets
+        self.tokenize, self.max_tokens, self.buckets = tokenize, max_tokens, bucket_count(self.docs)
 
     def words(self, counted: bool) -> DataFrame:
         """A row per block and bucket: its distinct words and, if counted, how often each occurs in flagged rows."""

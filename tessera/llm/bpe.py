@@ -77,7 +77,7 @@ class ByteBPE:
         """(id, n_tokens long, ids binary: little-endian unsigned 32-bit, decoded binary), a row for each row of docs."""
         parts = width(docs.sparkSession)
         rows = docs.select(F.col(id_col).cast("long").alias("id"), F.lit(True).alias("flag"), F.col(text_col).cast("string").alias("text"))
-        table = BlockTable(rows, self.tokenizer(), self.max_tokens, 4 * parts)
+        table = BlockTable(rows, self.tokenizer(), self.max_tokens)
         answers = self.encode_words(table.words(False), parts)
         token_bytes = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for token, k in self.ranks.items():

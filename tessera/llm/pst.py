@@ -178,8 +178,8 @@ class SuffixTreeLM:
                 for w, n in zip(own[-1], np.frombuffer(count, np.uint32).tolist()):
                     total[w] = total.get(w, 0) + n
             order = sorted(total, key=lambda w: (-total[w], w))  # a word's place in it makes its number
-            if FIRST + len(order) * buckets >= MASK:
-                raise ValueError("too many distinct words for their numbers")
+            if FIRST + sum(n >= least for n in total.values()) * buckets >= MASK:
+                raise ValueError("too many distinct words of min_count for their numbers")
             c = np.fromiter(map(total.__getitem__, order), np.int64, len(order))
             place = dict(zip(order, range(len(order))))
             out = [(-1, bucket, len(c), 0, int(c.sum()), int((c > 0).sum()), int((c == 1).sum()), int((c == 2).sum()), pack(*wide(c[c >= least])))]
@@ -318,10 +318,10 @@ class SuffixTreeLM:
         """(id, train, n_tokens, n_known, train_tokens, base_score, score), a row for each row of docs; learns where train is true."""
         spark = docs.sparkSession
         parts = width(spark)
-        buckets = 4 * parts
         rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(train, F.lit(False)).alias("flag"), F.col(text_col).cast("string").alias("text"))
         n_docs = rows.filter("flag").count()
-        table = BlockTable(rows, tokenize, self.max_tokens, buckets)
+        table = BlockTable(rows, tokenize, self.max_tokens)
+        buckets = table.buckets
         stored = table.stored()
         numbered = self.numbered(stored.filter("bucket >= 0").select("bucket", "block", "n", "mark", "payload"), buckets, parts)
         totals = numbered.filter("block < 0")

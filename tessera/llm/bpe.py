@@ -29,7 +29,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class ByteBPE:
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_tokens: int = 1_000_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_tokens: int = 600_000) -> None:
         self.ranks, self.max_tokens = ranks, max_tokens
         self.pattern = pattern
 

@@ -27,7 +27,7 @@ from tessera.llm.components import connected_components
 SEED, SHINGLE = 42, 3
 
 
-def fingerprints(texts, flush: int = 300_000) -> np.ndarray:
+def fingerprints(texts, flush: int = 100_000) -> np.ndarray:
     """Fingerprints (uint64) of an iterable of UTF-8 bytes or None."""
     import xxhash
 

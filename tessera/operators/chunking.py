@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import sentences, strip
+from tessera.functions.text import let, sentences, strip
 
 
 def fixed_chunks(text: Column, size: int = 700, overlap: int = 120) -> Column:
-    """Windows of `size` characters every size - overlap, stripped; blank ones go. A blank text has none."""
-    t = strip(F.coalesce(text, F.lit("")))
-    starts = F.sequence(F.lit(0), F.greatest(F.length(t) - 1, F.lit(0)), F.lit(max(1, size - overlap)))
-    return F.filter(F.transform(starts, lambda i: strip(F.substring(t, i + 1, F.lit(size)))), lambda c: c != "")
+    """Windows of `size` characters every size - overlap, stripped; blank ones go. A blank text has none.
+
+    The text is stripped once and cut once into pieces of one step each; a window is the pieces from its own on, so the work grows with the text.
+    """
+    step = max(1, size - overlap)
+    pieces = F.regexp_extract_all(strip(F.coalesce(text, F.lit(""))), F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+    window = lambda p, i: strip(F.substring(F.array_join(F.slice(p, i + 1, F.lit(-(-size // step))), ""), 1, size))
+    return F.filter(let(pieces, lambda p: F.transform(p, lambda _, i: window(p, i))), lambda c: c != "")
 
 
 def recursive_chunks(text: Column, size: int = 700, inner_overlap: int = 80) -> Column:

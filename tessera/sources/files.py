@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +52,13 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def held(df: DataFrame, tag: str) -> DataFrame:
+    """df written to the shared folder and read back, so that it is computed once and its size is known. llm.common.clean_scratch() deletes it."""
+    path = f"{shared_folder(df.sparkSession)}/tessera/{uuid.uuid4().hex[:12]}-{tag}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def folder(spark: SparkSession, path: str):
     """(file system, path) of a folder, wherever it lies."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -456,4 +456,30 @@ def test_bm25_of_repeated_ids(spark):
     docs = spark.createDataFrame([(1, "cat"), (1, "cat dog"), (2, "cow"), (3, "cat"), (4, "pig"), (5, "hen"), (6, "fox"), (7, "ox")], "id long, text string")
     q = spark.createDataFrame([(1, "cat dog")], "query_id long, text string")
     top = retrieval.BM25(docs).topk(q).collect()
-    assert sorted(r["id"] for r in top) == [1, 3]
+    assert sorted(r["id"] for r in top) == [1, 3] and len(retrieval.hash_vectors(docs).collect()) == 7
+
+
+def test_fixed_chunks_of_long_texts(spark):
+    """The work grows with the text: two million characters were 3,449 times a whole text to strip."""
+    import time
+
+    text = " " + "ab \u00e9\U0001f600\n" * 330_000 + "x  "
+    df = spark.createDataFrame([(1, text)], "id long, text string")
+    began = time.time()
+    got = df.select(F.explode(chunking.fixed_chunks(F.col("text"))).alias("c")).collect()
+    assert time.time() - began < 20
+    assert [r["c"] for r in got] == fixed_by_force(text)
+    for size, overlap in ((10, 9), (7, 0), (5, 8), (4, -3)):
+        few = spark.createDataFrame([(t,) for t in ("", "   ", "a", "ab cd  ef\n\ngh " * 5)], "t string")
+        got = {r["t"]: r["c"] for r in few.select("t", chunking.fixed_chunks(F.col("t"), size, overlap).alias("c")).collect()}
+        assert got == {t: [c for c in (t.strip()[i : i + size].strip() for i in range(0, len(t.strip()), max(1, size - overlap))) if c] for t in got}
+
+
+def test_chunk_retrieve_in_one_pass(spark):
+    """Vectors are made in their rows, and no text but the hits' own is shuffled."""
+    table = spark.createDataFrame([(f"c{i}", f"word{i % 7} and {i}") for i in range(50)], "id string, text string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan(retrieval.hash_vectors(table))
+    q = spark.createDataFrame([(1, "word3 and 10")], "query_id long, text string")
+    got = retrieval.chunk_retrieve(table, q)
+    assert "LeftSemi" in plan(got) and got.count() == 5

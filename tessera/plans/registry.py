@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import chunking, evaluation, records, retrieval, serialize
+from tessera.sources.files import held
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -685,7 +686,7 @@ def chunks_found(spark, sf, method):
     docs = corpus(spark, sf)
     if method == "recursive":
         docs = docs.withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
-    cut = chunking.chunk_dataset(docs, method).select("id", "text")
+    cut = held(chunking.chunk_dataset(docs, method).select("id", "text"), "chunks")
     found = retrieval.chunk_retrieve(cut, items(spark, sf))
     return found.select("query_id", "id", r6("cross_encoder_score"), "final_rank")
 

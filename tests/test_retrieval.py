@@ -483,3 +483,12 @@ def test_chunk_retrieve_in_one_pass(spark):
     q = spark.createDataFrame([(1, "word3 and 10")], "query_id long, text string")
     got = retrieval.chunk_retrieve(table, q)
     assert "LeftSemi" in plan(got) and got.count() == 5
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_chunks_written_once(spark):
+    """Both chunkings are cut once, into a written table, whatever reads them."""
+    from tessera.plans import registry
+
+    plan = registry.QUERIES["chunk_ablation"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate posexplode" not in plan and "documents.parquet" not in plan
